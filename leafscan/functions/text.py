@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,9 @@ def rstrip(col: Column | str, chars: str = WS) -> Column:
 
 def falsy_null(col: Column | str) -> Column:
     """Empty text counts as missing."""
-    return F.nullif(_c(col), F.lit(""))
+    if isinstance(col, str):
+        return F.nullif(F.col(col), F.lit(""))
+    return let(col, lambda c: F.when(c != "", c))
 
 
 def lines(col: Column | str) -> Column:
@@ -70,6 +74,11 @@ def _reencode(col: Column, lossy: bool) -> Column:
     return F.regexp_replace(F.make_valid_utf8(raw), "�", "")
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn``; keeps nested rules from copying their input."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def repair(
     col: Column | str,
     variant: str = "core",
@@ -82,35 +91,55 @@ def repair(
     ``index``   every row, strict then lossy re-decoding, better score wins.
     ``dataset`` marker rows, lossy; fewer markers, then more CJK characters win.
     ``eval``    core first, then marker rows, lossy if needed; ties take the repaired text.
+
+    A cheap pattern test comes first, so clean rows are never re-encoded.
     """
-    c = _c(col)
     if variant == "core":
-        markers = markers or CORE_MOJIBAKE
-        common = common or CORE_COMMON
-        fixed = _reencode(c, lossy=False)
-        better = _balance(fixed, common, markers, 3) > _balance(c, common, markers, 3)
-        return F.when(c.rlike(f"[{GATE_MARKERS}]") & better, fixed).otherwise(c)
-    if variant == "index":
-        markers = markers or CORE_MOJIBAKE + "�"
-        common = common or INDEX_COMMON
-        # ASCII re-decodes to itself, so only wide text pays for the encoding
-        fixed = F.coalesce(_reencode(c, False), _reencode(c, True))
-        better = _balance(fixed, common, markers, 3) > _balance(c, common, markers, 3)
-        return F.when(c.rlike(r"[^\x00-\x7f]") & better, fixed).otherwise(c)
-    if variant == "dataset":
-        markers = markers or GATE_MARKERS
-        fixed = _reencode(c, lossy=True)
-        bad, fixed_bad = _count(c, f"[{markers}]"), _count(fixed, f"[{markers}]")
-        better = (fixed_bad < bad) | ((fixed_bad == bad) & (_count(fixed, f"[{CJK}]") > _count(c, f"[{CJK}]")))
-        return F.when((bad > 0) & (fixed != "") & better, fixed).otherwise(c)
-    if variant == "eval":
+        markers, common = markers or CORE_MOJIBAKE, common or CORE_COMMON
+        gate = f"[{GATE_MARKERS}]"
+
+        def best(c: Column, fixed: Column) -> Column:
+            return F.when(_balance(fixed, common, markers, 3) > _balance(c, common, markers, 3), fixed).otherwise(c)
+
+        strict, lossy = True, False
+    elif variant == "index":
+        markers, common = markers or CORE_MOJIBAKE + "�", common or INDEX_COMMON
+        gate = r"[^\x00-\x7f]"  # ASCII re-decodes to itself
+
+        def best(c: Column, fixed: Column) -> Column:
+            return F.when(_balance(fixed, common, markers, 3) > _balance(c, common, markers, 3), fixed).otherwise(c)
+
+        strict, lossy = True, True
+    elif variant == "dataset":
         markers = markers or GATE_MARKERS
-        common = common or CORE_COMMON
-        base = repair(c)
-        fixed = F.coalesce(_reencode(base, False), _reencode(base, True))
-        keep = _balance(fixed, common, markers, 4) >= _balance(base, common, markers, 4)
-        return F.when(base.rlike(f"[{markers}]") & keep, fixed).otherwise(base)
-    raise ValueError(f"unknown repair variant {variant}")
+        gate = f"[{markers}]"
+
+        def best(c: Column, fixed: Column) -> Column:
+            bad, left = _count(c, gate), _count(fixed, gate)
+            more = _count(fixed, f"[{CJK}]") > _count(c, f"[{CJK}]")
+            return F.when((fixed != "") & ((left < bad) | ((left == bad) & more)), fixed).otherwise(c)
+
+        strict, lossy = False, True
+    elif variant == "eval":
+        markers, common = markers or GATE_MARKERS, common or CORE_COMMON
+        col = repair(col)
+        gate = f"[{markers}]"
+
+        def best(c: Column, fixed: Column) -> Column:
+            return F.when(_balance(fixed, common, markers, 4) >= _balance(c, common, markers, 4), fixed).otherwise(c)
+
+        strict, lossy = True, True
+    else:
+        raise ValueError(f"unknown repair variant {variant}")
+
+    def fix(c: Column) -> Column:
+        forms = [_reencode(c, False)] * strict + [_reencode(c, True)] * lossy
+        return F.coalesce(let(F.coalesce(*forms), lambda fixed: best(c, fixed)), c)
+
+    def gated(c: Column) -> Column:
+        return F.when(c.rlike(gate), fix(c)).otherwise(c)
+
+    return gated(F.col(col)) if isinstance(col, str) else let(col, gated)
 
 
 def repair_nested(df: DataFrame, variant: str = "core", keys: bool = False) -> DataFrame:
@@ -163,13 +192,15 @@ def _unwrap_details(c: Column) -> Column:
     def part(x: Column, i: Column) -> Column:
         summary = squeeze(F.substring_index(x, "\x01", 1))
         body = strip(F.substring_index(x, "\x01", -1))
-        shown = F.when(
-            summary != "", F.concat(F.lit("\n\n[details: "), summary, F.lit("]\n"), body, F.lit("\n"))
-        ).otherwise(F.concat(F.lit("\n\n"), body, F.lit("\n")))
-        return F.when(i % 2 == 1, shown).otherwise(x)
-
-    unwrapped = F.array_join(F.transform(F.split(marked, "\x02"), part), "")
-    return F.when(F.contains(marked, F.lit("\x02")), unwrapped).otherwise(c)
+        label = F.when(summary != "", F.concat(F.lit("[details: "), summary, F.lit("]\n"))).otherwise("")
+        return F.when(i % 2 == 1, F.concat(F.lit("\n\n"), label, body, F.lit("\n"))).otherwise(x)
+
+    return let(
+        marked,
+        lambda m: F.when(
+            F.contains(m, F.lit("\x02")), F.array_join(F.transform(F.split(m, "\x02"), part), "")
+        ).otherwise(m),
+    )
 
 
 # Named entities met in web text.
@@ -188,7 +219,10 @@ def unescape(col: Column) -> Column:
 
 def html_text(col: Column | str) -> Column:
     """Markup to text lines; cells are parted by `` | ``; plain text stays as it is."""
-    c = _c(col)
+    return let(_c(col), lambda c: F.when(F.contains(c, F.lit("<")) & F.contains(c, F.lit(">")), _markup_text(c)).otherwise(c))
+
+
+def _markup_text(c: Column) -> Column:
     # script and style bodies are character data, so their "<" opens no tag
     t = F.regexp_replace(c, r"(?is)(<(script|style)\b[^>]*>)(.*?)(</\2\s*>)", "$1\x05$3\x05$4")
     t = F.array_join(
@@ -212,27 +246,23 @@ def html_text(col: Column | str) -> Column:
     kept = F.filter(
         F.transform(lines(t), lambda x: strip(F.regexp_replace(x, f"[{WS}]+", " "), " |")), lambda x: x != ""
     )
-    out = F.coalesce(falsy_null(strip(F.array_join(kept, "\n"))), c)
-    return F.when(F.contains(c, F.lit("<")) & F.contains(c, F.lit(">")), out).otherwise(c)
+    return let(strip(F.array_join(kept, "\n")), lambda out: F.when(out == "", c).otherwise(out))
 
 
 # --- B5, B6, B8, B9 -------------------------------------------------------
 
 
-def clip(col: Column | str, n: int | Column, style: str = "ellipsis") -> Column:
+def clip(col: Column | str, n: int, style: str = "ellipsis") -> Column:
     """``ellipsis`` cuts at n-3 and adds dots, ``suffix`` adds dots after n, ``prefix`` just cuts."""
     c = squeeze(F.coalesce(_c(col), F.lit("")))
-    n = n if isinstance(n, Column) else F.lit(n)
-    one = F.lit(1)
     if style == "ellipsis":
-        short = F.concat(rstrip(F.substring(c, one, F.greatest(n - 3, F.lit(0)))), F.lit("..."))
-    elif style == "suffix":
-        short = F.concat(F.substring(c, one, n), F.lit("..."))
-    elif style == "prefix":
-        short = F.substring(c, one, n)
-    else:
-        raise ValueError(f"unknown clip style {style}")
-    return F.when(F.length(c) <= n, c).otherwise(short)
+        # squeezed text has single blanks, so at most one is stripped before the dots
+        return F.regexp_replace(c, f"(?s)^(?:(.{{{n - 4}}}[^ ])|(.{{{n - 4}}}) ).{{4,}}$", "$1$2...")
+    if style == "suffix":
+        return F.regexp_replace(c, f"(?s)^(.{{{n}}}).+$", "$1...")
+    if style == "prefix":
+        return F.substring(c, 1, n)
+    raise ValueError(f"unknown clip style {style}")
 
 
 # The characters each kind of match key drops (regex class bodies).
@@ -298,16 +328,20 @@ def _ngrams(run: Column, n: int) -> Column:
 
 def tokenize(col: Column | str, fix: bool = True) -> Column:
     """lower-case latin words, CJK runs, and the 2- and 3-grams of runs of four or more."""
+
+    def tokens(c: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(c), F.lit(r"[A-Za-z0-9_.%-]+"), F.lit(0))
+
+        def wide(runs: Column) -> Column:
+            long_runs = F.filter(runs, lambda r: F.length(r) >= 4)
+            return F.concat(runs, F.flatten(F.transform(long_runs, lambda r: F.concat(_ngrams(r, 2), _ngrams(r, 3)))))
+
+        # latin text has no runs, so the n-gram branch is skipped row by row
+        runs = F.regexp_extract_all(c, F.lit(f"[{CJK}]{{2,}}"), F.lit(0))
+        return F.when(c.rlike(f"[{CJK}]{{2}}"), F.concat(words, let(runs, wide))).otherwise(words)
+
     c = F.coalesce(_c(col), F.lit(""))
-    if fix:
-        c = repair(c)
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[A-Za-z0-9_.%-]+"), F.lit(0))
-    runs = F.regexp_extract_all(c, F.lit(f"[{CJK}]{{2,}}"), F.lit(0))
-    grams = F.flatten(
-        F.transform(F.filter(runs, lambda r: F.length(r) >= 4), lambda r: F.concat(_ngrams(r, 2), _ngrams(r, 3)))
-    )
-    # latin text has no runs, so the n-gram branch is skipped row by row
-    return F.when(c.rlike(f"[{CJK}]{{2}}"), F.concat(words, runs, grams)).otherwise(words)
+    return let(repair(c) if fix else c, tokens)
 
 
 def token_set(col: Column | str, fix: bool = True) -> Column:

@@ -234,7 +234,7 @@ def f5(spark, d):
       ON p.domain = qs.domain AND CAST(substr(p.doc_id, 2) AS BIGINT) % 10 = CAST(substr(qid, 2) AS BIGINT) % 10),
     r AS (SELECT bm.*, row_number() OVER (PARTITION BY bm.qid, bm.doc_id ORDER BY round(score, 6) DESC, page_no) AS rank
       FROM bm JOIN req ON req.qid = bm.qid AND req.doc_id = bm.doc_id)
-    SELECT qid, page_id AS evidence_id, doc_id, {R3.format('score')} AS score, rank FROM r WHERE rank <= 2""",
+    SELECT qid, page_id AS evidence_id, doc_id, {R3.format('round(score, 6)')} AS score, rank FROM r WHERE rank <= 2""",
 )
 def f7(spark, d):
     queries, pages = bench_queries(spark, d), line_pages(spark, d)
