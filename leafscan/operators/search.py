@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafscan.functions import text as X
 from leafscan.functions.containment import contains_join
 from leafscan.operators import index as I
-from leafscan.session import small
+from leafscan.session import Batch, measure, small
 
 K1 = 1.5
 B = 0.75
@@ -33,29 +33,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25(queries: DataFrame, pages: DataFrame, allowed: DataFrame | None = None, text: str = "index_text") -> DataFrame:
+def bm25(
+    queries: DataFrame, pages: DataFrame, allowed: DataFrame | None = None, text: str = "index_text", batch: Batch | None = None
+) -> DataFrame:
     """F2: scores of all pages sharing a term with a query of their domain.
 
     Statistics cover the whole domain even under a document filter
     ``allowed(qid, doc_id)``. Pages are shuffled once, by page; the query side
     is joined to them where they lie, and scores are summed there.
     """
+    batch = batch or measure(queries)
     keys = ["domain", "doc_id", "page_id", "page_no"]
     tokens = I.page_tokens(pages, text, tuple(keys))
     terms = query_terms(queries)
     vocabulary = terms.select("domain", "term").distinct()
     postings = (
         tokens.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(small(vocabulary), ["domain", "term"], "left_semi")
+        .join(batch.hint_terms(vocabulary), ["domain", "term"], "left_semi")
         .groupBy(*keys, "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
     corpus = tokens.groupBy("domain").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     df = postings.groupBy("domain", "term").agg(F.count("*").alias("df"))
-    return score_postings(terms, postings, df, corpus, allowed)
+    return score_postings(terms, postings, df, corpus, batch, allowed)
 
 
-def score_postings(terms: DataFrame, postings: DataFrame, df: DataFrame, corpus: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def score_postings(
+    terms: DataFrame, postings: DataFrame, df: DataFrame, corpus: DataFrame, batch: Batch, allowed: DataFrame | None = None
+) -> DataFrame:
     """Sum of the term weights per query and page; the small query side carries the statistics."""
     weights = (
         terms.join(df.select("domain", "term", "df"), ["domain", "term"])
@@ -64,9 +69,9 @@ def score_postings(terms: DataFrame, postings: DataFrame, df: DataFrame, corpus:
     )
     tf, dl = F.col("tf"), F.when(F.col("dl") == 0, 1).otherwise(F.col("dl"))
     part = F.col("w") * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl"))))
-    hits = postings.join(small(weights), ["domain", "term"])
+    hits = postings.join(batch.hint_terms(weights), ["domain", "term"])
     if allowed is not None:
-        hits = hits.join(small(allowed.select("qid", "doc_id").distinct()), ["qid", "doc_id"], "left_semi")
+        hits = hits.join(batch.hint(allowed.select("qid", "doc_id").distinct()), ["qid", "doc_id"], "left_semi")
     return (
         hits.groupBy("page_id", "qid", "domain", "doc_id", "page_no").agg(F.sum(part).alias("score")).filter("score > 0")
     )
@@ -86,8 +91,11 @@ def search_pages(
 ) -> DataFrame:
     """the k best pages per query, with a clipped quote."""
     k, quote = clamp(k, 1, 20), clamp(quote, 80, 3000)
-    top = top_pages(bm25(queries, pages, allowed, text), k)
-    found = pages.join(small(top.select("page_id", "qid", "score", "rank")), "page_id")
+    batch = measure(queries)
+    if allowed is not None:
+        batch = Batch(max(batch.rows, allowed.count()), batch.chars)
+    top = top_pages(bm25(queries, pages, allowed, text, batch), k)
+    found = pages.join(batch.hint(top.select("page_id", "qid", "score", "rank"), k), "page_id")
     shown = X.clip(F.coalesce(X.falsy_null("text"), F.col(text)), quote)
     return found.select("qid", "domain", "doc_id", "page_id", F.round("score", 3).alias("score"), "rank", "heading_path", shown.alias("quote"))
 
@@ -98,16 +106,19 @@ def top_pages(scores: DataFrame, k: int, per: list[str] | None = None) -> DataFr
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def retrieve_multi(requests: DataFrame, pages: DataFrame, k: int, source: str, text: str = "index_text") -> DataFrame:
+def retrieve_multi(
+    requests: DataFrame, pages: DataFrame, k: int, source: str, text: str = "index_text", batch: Batch | None = None
+) -> DataFrame:
     """evidence rows, the k best pages per (query, document) of ``requests(qid, domain, query, doc_id)``."""
+    batch = batch or measure(requests)
     queries = requests.select("qid", "domain", "query").distinct()
-    top = top_pages(bm25(queries, pages, requests, text), k, ["qid", "doc_id"])
-    return evidence_rows(top, pages, source)
+    top = top_pages(bm25(queries, pages, requests, text, batch), k, ["qid", "doc_id"])
+    return evidence_rows(batch.hint(top.select("page_id", "qid", "score", "rank"), k), pages, source)
 
 
-def evidence_rows(scored: DataFrame, pages: DataFrame, source: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def evidence_rows(scored: DataFrame, pages: DataFrame, source: str) -> DataFrame:
     """Evidence schema for scored pages."""
-    return pages.join(small(scored.select("page_id", "qid", "score", "rank", *extra)), "page_id").select(
+    return pages.join(scored, "page_id").select(
         "qid",
         F.col("page_id").alias("evidence_id"),
         "doc_id",
@@ -118,22 +129,22 @@ def evidence_rows(scored: DataFrame, pages: DataFrame, source: str, extra: tuple
         F.round("score", 6).alias("score"),
         "rank",
         F.lit(source).alias("source"),
-        *extra,
     )
 
 
-def term_hits(terms: DataFrame, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+def term_hits(terms: DataFrame, texts: DataFrame, keys: list[str], text: str, batch: Batch) -> DataFrame:
     """Query terms found as substrings of lower-cased texts: ``(keys, qid, domain, term, pos, hits)``."""
     lowered = texts.select(*keys, "domain", F.lower(F.col(text)).alias("_text"))
     needles = terms.select("domain", F.lower("term").alias("term"))
     hits = contains_join(lowered, needles, keys, "_text", ["domain"])
-    return hits.join(small(terms.withColumn("shown", F.col("term")).withColumn("term", F.lower("term"))), ["domain", "term"])
+    return hits.join(batch.hint_terms(terms.withColumn("shown", F.col("term")).withColumn("term", F.lower("term"))), ["domain", "term"])
 
 
-def catalog_score(queries: DataFrame, catalog: DataFrame, max_terms: int = 12) -> DataFrame:
+def catalog_score(queries: DataFrame, catalog: DataFrame, max_terms: int = 12, batch: Batch | None = None) -> DataFrame:
     """capped term counts plus 4 if the whole query occurs; matched terms in query order."""
+    batch = batch or measure(queries)
     profiles = I.catalog_text(catalog).select("doc_id", "domain", "profile")
-    hits = term_hits(query_terms(queries), profiles, ["doc_id"], "profile")
+    hits = term_hits(query_terms(queries), profiles, ["doc_id"], "profile", batch)
     scored = hits.groupBy("qid", "domain", "doc_id").agg(
         F.sum(F.least("hits", F.lit(3))).alias("terms_score"),
         F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), 1, max_terms).alias("matched"),
@@ -157,22 +168,23 @@ def catalog_score(queries: DataFrame, catalog: DataFrame, max_terms: int = 12) -
 def search_docs(queries: DataFrame, pages: DataFrame, catalog: DataFrame, k: int = 5, pool: int = 50, text: str = "index_text") -> DataFrame:
     """documents by the sum of their pages among the ``pool`` best plus the catalog score."""
     k = clamp(k, 1, 20)
-    best = top_pages(bm25(queries, pages, text=text), pool)
+    batch = measure(queries)
+    best = top_pages(bm25(queries, pages, text=text, batch=batch), pool)
     per_doc = best.groupBy("qid", "domain", "doc_id").agg(
         F.sum("score").alias("page_score"), F.min_by("page_id", "rank").alias("page_id")
     )
     # matched terms of the best page of each document
     lead = per_doc.select("qid", "page_id")
-    texts = pages.join(small(lead.select("page_id").distinct()), "page_id", "left_semi").select(
+    texts = pages.join(batch.hint(lead.select("page_id").distinct(), pool), "page_id", "left_semi").select(
         "page_id", "domain", F.coalesce(X.falsy_null("text"), F.col(text)).alias("shown_text")
     )
-    found = term_hits(query_terms(queries), texts, ["page_id"], "shown_text").join(small(lead), ["qid", "page_id"], "left_semi")
+    found = term_hits(query_terms(queries), texts, ["page_id"], "shown_text", batch).join(batch.hint(lead, pool), ["qid", "page_id"], "left_semi")
     page_terms = found.groupBy("qid", "page_id").agg(
         F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), 1, 12).alias("page_terms")
     )
     none = F.array().cast("array<string>")
     merged = (
-        catalog_score(queries, catalog)
+        catalog_score(queries, catalog, batch=batch)
         .join(per_doc, ["qid", "domain", "doc_id"], "full")
         .join(page_terms, ["qid", "page_id"], "left")
         .select(
@@ -188,7 +200,7 @@ def search_docs(queries: DataFrame, pages: DataFrame, catalog: DataFrame, k: int
     )
     top = merged.withColumn("rank", rank_by(["qid"], F.desc("score"), F.col("doc_id"))).filter(F.col("rank") <= k)
     shown = catalog.select("doc_id", F.col("title_fixed").alias("title"), "page_count", "first_page_id", X.clip("first_page_preview", 240).alias("first_page_preview"))
-    return shown.join(small(top), "doc_id").select(
+    return shown.join(batch.hint(top, k), "doc_id").select(
         "qid", "domain", "doc_id", "title", "score", F.round("catalog_score", 3).alias("catalog_score"),
         F.round("page_score", 3).alias("page_score"), "matched_terms", "page_count", "first_page_id", "first_page_preview", "rank",
     )

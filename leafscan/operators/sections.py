@@ -13,6 +13,7 @@ from leafscan.functions import extract as E
 from leafscan.functions import text as X
 from leafscan.operators import index as I
 from leafscan.operators import search as Q
+from leafscan.session import measure
 
 MIN_PAGE_CHARS = 20
 CONTEXT_PER_SECTION = 3
@@ -78,9 +79,11 @@ def is_open_anchor(text: Column) -> Column:
 
 def _terms(df: DataFrame, keys: list[str], *weighted: tuple[Column, float]) -> DataFrame:
     """Distinct tokens per row with the weight of the text they stand in."""
-    sides = [
-        F.transform(X.token_set(text), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("weight"))) for text, w in weighted
-    ]
+
+    def side(text: Column, weight: float) -> Column:
+        return F.transform(X.token_set(text), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+
+    sides = [side(text, weight) for text, weight in weighted]
     return df.select(*keys, F.explode(F.concat(*sides)).alias("t")).select(*keys, "t.term", "t.weight")
 
 
@@ -178,8 +181,9 @@ def section_search(
     whole document. A tier wins for a (query, document) if it has hits, or for
     the first two if it has context pages. All tiers share one scoring pass.
     """
+    batch = measure(requests)
     requests = requests.dropDuplicates(["qid", "doc_id"])
-    scores = Q.bm25(requests.select("qid", "domain", "query").distinct(), pages, requests, text).select(
+    scores = Q.bm25(requests.select("qid", "domain", "query").distinct(), pages, requests, text, batch).select(
         "qid", "doc_id", "page_id", "page_no", "score"
     )
     by_heading = pages.select("doc_id", I.heading_text().alias("section_id"), "page_id", "page_no")
@@ -308,6 +312,7 @@ def hint_search(hints: DataFrame, sections: DataFrame, bridge: DataFrame, pages:
     First the ranked pages of two matching sections, then pages matching the
     hint themselves fill up to n; only hints without any go to BM25.
     """
+    batch = measure(hints.select(F.concat_ws(" ", "hint", "query").alias("query")))
     keyed = hints.withColumn("key", X.match_key("hint")).filter("key <> ''")
     sides = F.array(X.match_key("title"), X.match_key(I.heading_text()), X.match_key(F.substring("preview", 1, 3000)))
     table = sections.select("doc_id", "section_id", "toc_no", "title", sides.alias("sides"))
@@ -337,5 +342,5 @@ def hint_search(hints: DataFrame, sections: DataFrame, bridge: DataFrame, pages:
     both = both.withColumn("rank", Q.rank_by(["qid"], F.col("tier"), F.col("place"))).filter(F.col("rank") <= n)
     empty = hints.join(both.select("qid").distinct(), "qid", "left_anti")
     asked = empty.select("qid", "domain", "doc_id", F.concat_ws(" ", X.falsy_null("hint"), X.falsy_null("query")).alias("query"))
-    rest = Q.retrieve_multi(asked, pages, n, "toc_repair_bm25", text).withColumn("tier", F.lit(3))
+    rest = Q.retrieve_multi(asked, pages, n, "toc_repair_bm25", text, batch).withColumn("tier", F.lit(3))
     return both.drop("place").unionByName(rest.select(*cols, "tier", "rank"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import text as X
 from leafscan.operators import segment as S
-from leafscan.session import configure
+from leafscan.session import configure, cut_lineage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -200,17 +200,33 @@ secs AS (
     FROM paths GROUP BY doc_id, path))"""
 
 
+_BUILT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def markdown_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Toc, pages, documents, catalog and sections of the markdown documents."""
+    """Index of the markdown documents, built once per application and kept in the checkpoint folder.
+
+    ``toc``, ``pages``, ``documents``, ``sections`` (one row per heading path)
+    and ``bridge`` (pages at or below a section).
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT[key] = build_markdown_index(spark, d)
+    return _BUILT[key]
+
+
+def build_markdown_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     from leafscan.operators import index as I
 
     docs = markdown_docs(spark, d).withColumn("text", X.normalize_text("raw")).drop("raw")
-    rows = S.outline(docs, "heading")
-    toc = S.toc_of(rows)
+    rows = cut_lineage(S.outline(docs, "heading"))
+    toc = cut_lineage(S.toc_of(rows))
     named = I.doc_identity(docs, toc)
     blocks = S.blocks_of(rows).drop("domain", "source_path").join(
         named.select("doc_id", "domain", "title", "source_path", F.lit("heading").alias("mode")), "doc_id"
     )
-    pages = S.make_pages(blocks)
-    documents = I.documents_idx(named, pages)
-    return {"toc": toc, "pages": pages, "docs": named, "documents": documents}
+    pages = cut_lineage(S.make_pages(blocks))
+    documents = cut_lineage(I.documents_idx(named, pages))
+    sections = cut_lineage(I.section_rows(toc))
+    bridge = cut_lineage(I.section_pages(sections, pages))
+    return {"toc": toc, "pages": pages, "documents": documents, "sections": sections, "bridge": bridge}

@@ -329,7 +329,7 @@ def e14(spark, d):
         list_filter(regexp_extract_all(text, '[^。；;.!?？]*[。；;.!?？]|[^。；;.!?？]+$'), lambda p: contains(p, regexp_extract(text, '[0-9.]+%')))[1] AS part, strpos(text, regexp_extract(text, '[0-9.]+%')) AS loc FROM op),
     fd AS (SELECT domain, doc_id, min(page_no) AS page_no FROM op GROUP BY domain, doc_id),
     rk AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS no FROM fd)
-    SELECT domain || CASE WHEN no <= 5 THEN '_num_' || printf('%03d', no) ELSE '_summary_' || printf('%03d', no - 5) END AS id, rk.domain, rk.doc_id, page_id,
+    SELECT rk.domain || CASE WHEN no <= 5 THEN '_num_' || printf('%03d', no) ELSE '_summary_' || printf('%03d', no - 5) END AS id, rk.domain AS domain, rk.doc_id AS doc_id, page_id,
       CASE WHEN no <= 5 THEN 'numeric_fact' ELSE 'summary_keyword' END AS answer_type,
       '根据《' || title || '》中“合同 > ' || status || '”部分，' || CASE WHEN no <= 5 THEN '文中提到的关键数值是多少？请给出原文中的数值并简要说明对应事项。' ELSE '概括该部分主要讨论的内容。' END AS question,
       CASE WHEN no <= 5 THEN CASE WHEN part IS NOT NULL THEN part ELSE substr(text, greatest(1, loc - 120), loc - greatest(1, loc - 120) + 180) END ELSE substr(text, 1, 320) END AS quote
@@ -380,7 +380,7 @@ def run_logs(spark, d):
 
 @query(
     "k6_audit_samples",
-    f"""WITH {ORDERS_SQL} SELECT doc_id || ':u' || page_no AS id, doc_id AS qid, 'A' AS final_answer, 12 AS total_tokens,
+    f"""WITH {ORDERS_SQL} SELECT doc_id || ':u' || page_no AS id, doc_id AS qid, 'A' AS final_answer, CAST(12 AS BIGINT) AS total_tokens,
       CASE WHEN page_no % 2 = 0 THEN 'complete' ELSE 'partial' END AS status, page_id AS evidence_id, 'useful' AS mark, text AS evidence_text FROM op WHERE page_no % 5 <> 0""",
 )
 def k6(spark, d):

@@ -346,7 +346,7 @@ def e4(spark, d):
     UNION ALL SELECT doc_id, 'ancestor', section_id, above FROM up WHERE section_id IN (SELECT section_id FROM seeds)""",
 )
 def e5(spark, d):
-    rows = I.section_rows(markdown_index(spark, d)["toc"])
+    rows = markdown_index(spark, d)["sections"]
     return I.section_walk(rows, rows.filter("toc_no = 3"))
 
 
@@ -402,7 +402,7 @@ def a11(spark, d):
 )
 def e13(spark, d):
     ix = markdown_index(spark, d)
-    return I.toc_for_docs(I.section_rows(ix["toc"]), ix["pages"], 20)
+    return I.toc_for_docs(ix["sections"], ix["pages"], 20)
 
 
 @query(
@@ -439,7 +439,7 @@ def e2(spark, d):
 )
 def e12(spark, d):
     ix = markdown_index(spark, d)
-    trees = I.tree_text(I.section_rows(ix["toc"]))
+    trees = I.tree_text(ix["sections"])
     return I.doc_profile(ix["documents"], trees, ix["pages"], 1400).select("doc_id", "profile")
 
 

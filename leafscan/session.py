@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 # A side is broadcast only when a count proves it is at most this many rows;
 # beyond it the plain join is used and AQE picks (and splits) the shuffle join.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 2_000_000  # of query text; each character opens at most three terms
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -31,11 +33,33 @@ def build_session(name: str = "leafscan", master: str | None = None, partitions:
     return configure(builder.getOrCreate())
 
 
+class Batch(NamedTuple):
+    """Measured size of a query batch; decides what may be broadcast."""
+
+    rows: int
+    chars: int
+
+    def hint(self, df: DataFrame, rows_per_query: int = 1) -> DataFrame:
+        """Broadcast ``df`` if it holds at most ``rows_per_query`` rows per query and that is proven small."""
+        return F.broadcast(df) if self.rows * rows_per_query <= BROADCAST_ROWS else df
+
+    def hint_terms(self, df: DataFrame) -> DataFrame:
+        """The same for tables with a row per query term."""
+        return F.broadcast(df) if self.chars <= BROADCAST_CHARS else df
+
+
+def measure(queries: DataFrame, text: str = "query") -> Batch:
+    """Size of a query batch, by one aggregate over the query side alone."""
+    row = queries.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    return Batch(int(row[0]), int(row[1]))
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` if it is proven to hold at most ``max_rows`` rows.
+    """Broadcast hint for an input ``df`` if it is proven to hold at most ``max_rows`` rows.
 
-    The check stops after ``max_rows + 1`` rows. A larger side is returned
+    The check reads at most ``max_rows + 1`` rows. A larger side is returned
     unhinted, so the join falls back to a shuffle join with AQE skew handling.
+    Meant for inputs, not for results: the check runs the plan of ``df``.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
