@@ -237,7 +237,7 @@ def f19(spark, d):
     c AS (SELECT *, 1 + CASE WHEN contains(s, pc) THEN 1 ELSE 0 END + CASE WHEN contains(s, '研发投入') THEN 1 ELSE 0 END + CASE WHEN contains(s, '净资产') THEN 1 ELSE 0 END AS covered FROM b),
     r AS (SELECT *, covered * 20.0 + least(length(s), 2000) / 2000.0 AS sc FROM c WHERE covered >= 2),
     k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, page_no) AS rank FROM r)
-    SELECT qid, id AS evidence_id, covered, round(CAST(sc AS DOUBLE), 4) AS score, rank FROM k WHERE rank <= 3""",
+    SELECT qid, id AS evidence_id, CAST(covered AS BIGINT) AS covered, round(CAST(sc AS DOUBLE), 4) AS score, rank FROM k WHERE rank <= 3""",
 )
 def f20(spark, d):
     requests = contract_queries(spark, d).withColumn("doc_id", F.col("qid"))
