@@ -184,11 +184,11 @@ jd AS (SELECT *, k % 7 = 0 AND i = 0 AND coalesce(b, false) AS guarded, CASE WHE
 
 @query(
     "h9_judgments",
-    f"""WITH {JUDGE_SQL} SELECT qid, option, verdict, CAST(confidence AS DOUBLE) AS confidence,
+    f"""WITH {JUDGE_SQL} SELECT qid, option, CASE WHEN verdict THEN 'true' WHEN NOT verdict THEN 'false' END AS verdict, CAST(confidence AS DOUBLE) AS confidence,
       CASE WHEN verdict THEN option WHEN NOT verdict THEN '' ELSE ['A', 'TRUE', 'no', '不清楚'][m % 4 + 1] END AS answer FROM jd""",
 )
 def h9(spark, d):
-    return A.judgments(*replies(spark, d)).select("qid", "option", "verdict", "confidence", "answer")
+    return A.judgments(*replies(spark, d)).select("qid", "option", F.col("verdict").cast("string").alias("verdict"), "confidence", "answer")
 
 
 @query(
@@ -293,10 +293,10 @@ def d16(spark, d):
 
 @query(
     "h14_next_workday",
-    """SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE dayofweek(o_orderdate) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS next_workday FROM orders""",
+    """SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + CASE dayofweek(o_orderdate) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END, '%Y-%m-%d') AS next_workday FROM orders""",
 )
 def h14(spark, d):
-    return A.next_workday(orders(spark, d).select("o_orderkey", F.to_date("o_orderdate").alias("date"))).select("o_orderkey", F.col("next_workday").cast("timestamp_ntz").alias("next_workday"))
+    return A.next_workday(orders(spark, d).select("o_orderkey", F.to_date("o_orderdate").alias("date"))).select("o_orderkey", F.col("next_workday").cast("string").alias("next_workday"))
 
 
 @query(
