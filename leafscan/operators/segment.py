@@ -100,7 +100,7 @@ def outline(docs: DataFrame, mode: str) -> DataFrame:
         opens = F.lit(False)
     if mode != "block":
         rows = rows.withColumn("kind", F.lit("section"))
-    rows = rows.select("*", marker.alias("marker"), F.when(opens, 1).otherwise(0).alias("opens"))
+    rows = rows.select("*", F.when(opens, marker).otherwise("").alias("marker"), F.when(opens, 1).otherwise(0).alias("opens"))
     rows = rows.withColumn(
         "run", F.sum("opens").over(Window.partitionBy("doc_id", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     )
@@ -196,7 +196,7 @@ def toc_of(rows: DataFrame) -> DataFrame:
         "doc_id",
         F.row_number().over(by_pos).alias("toc_no"),
         "level",
-        F.element_at("heading_path", -1).alias("title"),
+        F.try_element_at("heading_path", F.lit(-1)).alias("title"),
         "heading_path",
     )
 

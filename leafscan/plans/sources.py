@@ -201,13 +201,13 @@ def c3(spark, d):
 
 @query(
     "c4_split_blocks",
-    f"""WITH {NUMBERED_SQL}, b AS (SELECT doc_id, i // 3 AS g, CASE WHEN (i // 3) % 2 = 1 THEN 'table' ELSE 'text' END AS kind, string_agg(CASE WHEN (i // 3) % 2 = 1 THEN '| ' || i || ' | x |' ELSE line END, chr(10) ORDER BY i) AS text
+    f"""WITH {NUMBERED_SQL}, b AS (SELECT doc_id, i // 3 AS g, CASE WHEN (i // 3) % 2 = 1 THEN 'table' ELSE 'text' END AS kind, string_agg(CASE WHEN (i // 3) % 2 = 1 THEN '| ' || i || ' | x |' ELSE 't ' || line END, chr(10) ORDER BY i) AS text
       FROM nm GROUP BY ALL) SELECT doc_id, kind, text, 'H' AS heading_path FROM b""",
 )
 def c4(spark, d):
     """Three lines of text, three of a table, and so on."""
     docs = numbered_docs(spark, d)
-    mixed = F.transform("marked", lambda x, i: F.when(F.floor(i / 3) % 2 == 1, F.concat(F.lit("| "), i.cast("string"), F.lit(" | x |"))).otherwise(x))
+    mixed = F.transform("marked", lambda x, i: F.when(F.floor(i / 3) % 2 == 1, F.concat(F.lit("| "), i.cast("string"), F.lit(" | x |"))).otherwise(F.concat(F.lit("t "), x)))
     _, blocks = S.split_blocks(docs.select("doc_id", F.concat(F.lit("# H\n"), F.array_join(mixed, "\n")).alias("text")))
     return blocks.select("doc_id", "kind", "text", "heading_path")
 
