@@ -8,39 +8,57 @@ from leafscan.functions import text as X
 from leafscan.operators import routing as R
 from leafscan.operators import search as Q
 from leafscan.plans.base import query, table
-from leafscan.plans.evaluate import ASK_SQL, ORDERS_SQL, order_pages, questions
+from leafscan.session import cut_lineage
+from leafscan.plans.evaluate import ASK_SQL, questions
 from leafscan.plans.evidence import tokens_sql
 
 
+# eight characters drawn from a key's digest name a customer in wide text
+HEX = "0123456789abcdef"
+SIGNS = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳"
+
+
+def sign(key):
+    return F.translate(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), HEX, SIGNS)
+
+
+SIGN = f"translate(substr(md5(CAST({{0}} AS VARCHAR)), 1, 8), '{HEX}', '{SIGNS}')"
+
+
 def profiles(spark, d):
-    """A customer's name and first note."""
-    first = order_pages(spark, d).groupBy("doc_id", "domain", "title").agg(F.min_by("text", "page_no").alias("text"))
-    return first.select(
-        "doc_id", "domain", "title", F.concat(F.lit("raw/"), "doc_id", F.lit(".md")).alias("source_path"),
-        F.concat(F.lit("title="), "title", F.lit(" first_page="), "text").alias("profile"),
+    """A customer's signed name and segment."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        F.concat(F.lit("c"), F.lpad(k.cast("string"), 7, "0")).alias("doc_id"), F.lower("c_mktsegment").alias("domain"), sign(k).alias("title"),
+        F.concat(F.lit("raw/c"), k, F.lit(".md")).alias("source_path"),
+        F.concat(F.lit("title="), sign(k), F.lit(" first_page="), "c_name", F.lit(" 目录 "), sign(k), F.lit("，余额"), F.floor("c_acctbal")).alias("profile"),
     )
 
 
 def supplier_questions(spark, d):
+    """Every supplier asks about the customer of its own number."""
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
     domains = F.array(*[F.lit(x) for x in ("automobile", "building", "furniture", "household", "machinery")])
     return s.select(
         F.concat(F.lit("s"), k).alias("qid"), F.element_at(domains, (k % 5 + 1).cast("int")).alias("domain"),
-        F.concat("s_name", F.lit("的折扣率为"), k % 17 + 1, F.lit(".5%，违约金比例为"), k % 5 + 1, F.lit("%是否按营业收入计收")).alias("query"),
-        F.array(F.lit("违约金比例"), F.concat(F.lit("客户"), k)).alias("entities"), F.array(F.lit("营业收入")).alias("metrics"),
+        F.concat("s_name", F.lit("问《"), sign(k), F.lit("》"), sign(k), F.lit("账期金额 "), k % 30 + 1990, F.lit("年")).alias("query"),
+        F.array(sign(k + 5), F.concat(F.lit("余额"), k)).alias("entities"), F.array(F.lit("余额")).alias("metrics"),
     )
 
 
 KEY = r"lower(regexp_replace({0}, '[\s、，,。；;：:（）()\[\]【】《》\"''“”‘’/\\_-]+', '', 'g'))".replace(r"\"", '"')
 CJK_COUNT = "len(regexp_extract_all({0}, '[\\x{{4e00}}-\\x{{9fff}}]'))"
-PROFILE_SQL = f"""{ORDERS_SQL},
-prof AS (SELECT doc_id, domain, title, 'title=' || title || ' first_page=' || arg_min(text, page_no) AS profile FROM op GROUP BY doc_id, domain, title),
+PROFILE_SQL = f"""
+prof AS (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS doc_id, lower(c_mktsegment) AS domain, {SIGN.format('c_custkey')} AS title, 'raw/c' || c_custkey || '.md' AS path,
+  'title=' || {SIGN.format('c_custkey')} || ' first_page=' || c_name || ' 目录 ' || {SIGN.format('c_custkey')} || '，余额' || CAST(floor(c_acctbal) AS BIGINT) AS profile FROM customer),
 rq AS (SELECT 's' || s_suppkey AS qid, ['automobile', 'building', 'furniture', 'household', 'machinery'][s_suppkey % 5 + 1] AS domain, s_suppkey AS k,
-  s_name || '的折扣率为' || (s_suppkey % 17 + 1) || '.5%，违约金比例为' || (s_suppkey % 5 + 1) || '%是否按营业收入计收' AS query FROM supplier)"""
+  s_name || '问《' || {SIGN.format('s_suppkey')} || '》' || {SIGN.format('s_suppkey')} || '账期金额 ' || (s_suppkey % 30 + 1990) || '年' AS query FROM supplier)"""
 RUNS = "regexp_extract_all(query, '[\\x{4e00}-\\x{9fff}A-Za-z0-9.]{2,18}')"
 ROUTE_SQL = f"""{PROFILE_SQL},
-rt AS (SELECT qid, shown, min(pos) AS pos FROM (SELECT qid, unnest({RUNS}) AS shown, generate_subscripts({RUNS}, 1) AS pos FROM rq) GROUP BY ALL),
+rt AS (SELECT qid, shown, min(pos) AS pos FROM (SELECT qid, unnest({RUNS}) AS shown, generate_subscripts({RUNS}, 1) AS pos FROM rq
+  UNION ALL SELECT qid, regexp_extract(query, '《([^》]{{2,120}})》', 1), 0 FROM rq) GROUP BY ALL),
 rk AS (SELECT *, {KEY.format('shown')} AS term FROM rt WHERE length({KEY.format('shown')}) >= 2),
 ph AS (SELECT DISTINCT qid, substr(key, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS term FROM (SELECT qid, key, n, unnest(range(1, length(key) - n + 2)) AS i
   FROM (SELECT qid, {KEY.format('query')} AS key FROM rq), range(6, 17) s(n) WHERE n <= length(key))),
@@ -107,8 +125,10 @@ def g1(spark, d):
     hint AS (SELECT * FROM qtk WHERE NOT regexp_matches(tok, '^(?:19|20)[0-9]{{2}}年?$') AND NOT regexp_matches(tok, '^[0-9.%-]+$') AND length(tok) > 1
       AND NOT regexp_matches(tok, '^[a-z]{{1,3}}$') AND regexp_matches(tok, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z]')),
     sh AS (SELECT rq.qid, prof.doc_id, count(*) AS n FROM hint JOIN rq ON rq.qid = hint.id JOIN ptk ON ptk.tok = hint.tok JOIN prof ON prof.doc_id = ptk.id AND prof.domain = rq.domain GROUP BY ALL),
-    s AS (SELECT rq.qid, prof.doc_id, coalesce(n, 0) + CASE WHEN contains(profile, '违约金比例') THEN 8 ELSE 0 END + CASE WHEN contains(profile, '客户' || k) THEN 8 ELSE 0 END
-      + CASE WHEN contains(profile, '营业收入') THEN 3 ELSE 0 END AS score FROM rq JOIN prof ON prof.domain = rq.domain LEFT JOIN sh ON sh.qid = rq.qid AND sh.doc_id = prof.doc_id)
+    ti AS (SELECT DISTINCT rq.qid, prof.doc_id FROM rq JOIN prof ON prof.domain = rq.domain JOIN hint ON hint.id = rq.qid AND contains(title || ' ' || path, hint.tok)),
+    s AS (SELECT rq.qid, prof.doc_id, coalesce(n, 0) + CASE WHEN contains(profile, {SIGN.format('k + 5')}) THEN 20 ELSE 0 END + CASE WHEN contains(profile, '余额' || k) THEN 8 ELSE 0 END
+      + CASE WHEN contains(profile, '余额') THEN 3 ELSE 0 END + CASE WHEN ti.qid IS NOT NULL THEN 2 ELSE 0 END AS score
+      FROM rq JOIN prof ON prof.domain = rq.domain LEFT JOIN sh ON sh.qid = rq.qid AND sh.doc_id = prof.doc_id LEFT JOIN ti ON ti.qid = rq.qid AND ti.doc_id = prof.doc_id)
     SELECT qid, doc_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 6""",
 )
 def g6(spark, d):
@@ -119,17 +139,18 @@ def g6(spark, d):
 def g5(spark, d):
     """A third of the questions prefers documents; the others take catalog hits, the prefilter or the domain."""
     q, p = supplier_questions(spark, d), profiles(spark, d)
-    hits = R.catalog_search(q.select("qid", "query"), p)
+    hits = cut_lineage(R.catalog_search(q.select("qid", "query"), p))
     preferred = hits.filter((F.substring("qid", 2, 20).cast("int") % 3 == 0) & (F.col("rank") <= 2)).select("qid", "doc_id", F.col("rank").alias("ord"))
     return R.choose_docs(q.select("qid", "domain"), preferred, hits, R.prefilter(q, p), p)
 
 
 def claims(spark, d):
-    """The claim of every fiftieth customer's note, put to the documents of its domain's first five customers."""
+    """Every supplier question put to the first customers of its domain and to the customer it names."""
     p = profiles(spark, d)
+    q = supplier_questions(spark, d)
     first = p.withColumn("ord", Q.rank_by(["domain"], F.col("doc_id"))).filter("ord <= 5").select("domain", "doc_id")
-    asked = order_pages(spark, d).select(F.col("page_id").alias("qid"), "domain", F.substring("text", 1, 60).alias("claim"))
-    return asked.join(first, "domain").select("qid", "doc_id", "claim")
+    named = q.select("qid", F.concat(F.lit("c"), F.lpad(F.substring("qid", 2, 20), 7, "0")).alias("doc_id"), F.col("query").alias("claim"))
+    return q.select("qid", "domain", F.col("query").alias("claim")).join(first, "domain").select("qid", "doc_id", "claim").unionByName(named).distinct()
 
 
 @query("g7_doc_hints")
