@@ -10,8 +10,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "f3_search_pages", "f4_search_docs", "f6_catalog_score", "f7_retrieve_multi", "e10_term_stats", "c7_make_pages", "e3_sections", "f12_section_search",
-    "f17_rerank", "f34_pack_context", "d5_measured_values", "k4_draft_cases", "k9_atomic_questions", "g2_catalog_search", "h9_judgments", "i7_calculate", "j9_summaries", "j14_quota",
+    "f3_search_pages", "f7_retrieve_multi", "e10_term_stats", "e3_sections", "f9_section_score", "f34_pack_context", "d5_measured_values",
+    "k9_atomic_questions", "h9_judgments", "i7_calculate", "j9_summaries", "j14_quota",
 )
 
 

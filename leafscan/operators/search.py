@@ -42,7 +42,10 @@ def bm25(
     ``allowed(qid, doc_id)``. Pages are shuffled once, by page; the query side
     is joined to them where they lie, and scores are summed there.
     """
-    batch = batch or measure(queries)
+    if batch is None:
+        # with a document filter every (query, document) pair brings the query's terms
+        pairs = queries if allowed is None else allowed.select("qid", "doc_id").distinct().join(queries.select("qid", "query"), "qid")
+        batch = measure(pairs)
     keys = ["domain", "doc_id", "page_id", "page_no"]
     tokens = I.page_tokens(pages, text, tuple(keys))
     terms = query_terms(queries)
@@ -69,9 +72,12 @@ def score_postings(
     )
     tf, dl = F.col("tf"), F.when(F.col("dl") == 0, 1).otherwise(F.col("dl"))
     part = F.col("w") * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl"))))
-    hits = postings.join(batch.hint_terms(weights), ["domain", "term"])
-    if allowed is not None:
-        hits = hits.join(batch.hint(allowed.select("qid", "doc_id").distinct()), ["qid", "doc_id"], "left_semi")
+    if allowed is None:
+        hits = postings.join(batch.hint_terms(weights), ["domain", "term"])
+    else:
+        # terms per allowed document: postings meet only the queries that may see them
+        asked = weights.join(allowed.select("qid", "doc_id").distinct(), "qid")
+        hits = postings.join(batch.hint_terms(asked), ["domain", "doc_id", "term"])
     return (
         hits.groupBy("page_id", "qid", "domain", "doc_id", "page_no").agg(F.sum(part).alias("score")).filter("score > 0")
     )
@@ -91,9 +97,8 @@ def search_pages(
 ) -> DataFrame:
     """the k best pages per query, with a clipped quote."""
     k, quote = clamp(k, 1, 20), clamp(quote, 80, 3000)
-    batch = measure(queries)
-    if allowed is not None:
-        batch = Batch(max(batch.rows, allowed.count()), batch.chars)
+    pairs = queries if allowed is None else allowed.select("qid", "doc_id").distinct().join(queries.select("qid", "query"), "qid")
+    batch = measure(pairs)
     top = top_pages(bm25(queries, pages, allowed, text, batch), k)
     found = pages.join(batch.hint(top.select("page_id", "qid", "score", "rank"), k), "page_id")
     shown = X.clip(F.coalesce(X.falsy_null("text"), F.col(text)), quote)
