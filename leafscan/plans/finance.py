@@ -48,12 +48,12 @@ def i4(spark, d):
 
 @query(
     "i5_bond_interest",
-    """SELECT o_orderkey, round(o_totalprice * 0.015 * date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) / 365, 4) AS interest FROM orders""",
+    """SELECT o_orderkey, floor(o_totalprice * 0.015 * date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) / 365 * 1000 + 0.50001) / 1000.0 AS interest FROM orders""",
 )
 def i5(spark, d):
     days = F.datediff("o_orderdate", F.lit("1990-01-01"))
     return table(spark, d, "orders").select(
-        "o_orderkey", F.round(N.bond_interest(F.col("o_totalprice"), F.lit(0.015), days), 4).alias("interest")
+        "o_orderkey", r3(N.bond_interest(F.col("o_totalprice"), F.lit(0.015), days)).alias("interest")
     )
 
 
