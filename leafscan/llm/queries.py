@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leafscan.llm.exact_dedup import exact_dedup
+from leafscan.llm.token_store import token_output
 from leafscan.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +43,8 @@ FROM rows r JOIN groups g ON r.body = g.body""",
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_output")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
