@@ -30,8 +30,7 @@ def text_classes(docs: DataFrame, text: str = "text", order: str = "doc_id", dig
     # A coarser key than the text is enough to find hot texts, and is cheap.
     coarse = F.xxhash64(F.lower(F.coalesce(F.col(text), F.lit(""))))
     counts = docs.select(coarse.alias("coarse")).groupBy("coarse").count()
-    total = docs.agg(F.count("*").alias("total"))
-    hot = counts.join(F.broadcast(total), F.col("count") * HOT_SHARE > F.col("total")).select("coarse", F.lit(True).alias("hot"))
+    hot = counts.filter(F.col("count") * HOT_SHARE > docs.count()).select("coarse", F.lit(True).alias("hot"))
     rows = docs.select(F.col(order).cast("long").alias("id"), body.alias("body"), coarse.alias("coarse"))
     rows = rows.join(F.broadcast(hot), "coarse", "left").select(
         "id",

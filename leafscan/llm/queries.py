@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leafscan.llm.exact_dedup import exact_dedup
+from leafscan.llm.language_id import language_id
 from leafscan.llm.token_store import token_output
 from leafscan.session import configure
 
@@ -48,3 +49,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_token_output")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
