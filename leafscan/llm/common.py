@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,23 +46,37 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column used inside the function of ``transform`` or ``filter`` may be put
+    there as an expression by the optimizer, and would then run per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_offsets(lengths: Column, block: int = 128) -> Column:
     """Sum of all earlier elements, per element of an array of longs.
 
     Sums run within blocks and over block totals, so the work stays near
     ``n * block`` for an array of n elements instead of n squared.
     """
-    n = F.size(lengths)
-    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
     zero = F.lit(0).cast("long")
-    totals = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * block + 1, block), zero, lambda a, x: a + x))
 
-    def inside(b: Column) -> Column:
-        part = F.slice(lengths, b * block + 1, block)
-        base = F.aggregate(F.slice(totals, F.lit(1), b), zero, lambda a, x: a + x)
-        return F.transform(part, lambda _, i: base + F.aggregate(F.slice(part, F.lit(1), i), zero, lambda a, x: a + x))
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda a, x: a + x)
 
-    return F.flatten(F.transform(blocks, inside))
+    def by_block(own: Column) -> Column:
+        parts = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.floor((F.size(own) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(parts, lambda b: F.slice(own, b * block + 1, block)), lambda cut: let(F.transform(cut, total), lambda sums: inner(cut, sums)))
+
+    def inner(cut: Column, sums: Column) -> Column:
+        def of(part: Column, b: Column) -> Column:
+            return let(total(F.slice(sums, F.lit(1), b)), lambda base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i))))
+
+        return F.flatten(F.transform(cut, of))
+
+    return let(lengths, by_block)
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -68,18 +84,22 @@ def spans_of(text: Column, pattern: str) -> Column:
 
     The gaps between matches come from ``split``; the pattern must not match the empty string.
     """
-    quoted = F.lit(pattern)
-    found = F.regexp_extract_all(text, quoted, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)).cast("long") + F.length(m))
-    before = running_offsets(steps)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    spans = F.transform(
-        found,
-        lambda m, i: F.struct(
-            (F.get(before, i) + F.length(F.get(gaps, i))).alias("start"),
-            (F.get(before, i) + F.get(steps, i)).alias("end"),
-            m.alias("value"),
-        ),
+
+    def placed(found: Column, gaps: Column) -> Column:
+        steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)).cast("long") + F.length(m))
+        return let(
+            running_offsets(steps),
+            lambda before: F.transform(
+                found,
+                lambda m, i: let(
+                    F.get(before, i) + F.length(F.get(gaps, i)),
+                    lambda start: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value")),
+                ),
+            ),
+        )
+
+    spans = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda found: let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps)),
     )
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))

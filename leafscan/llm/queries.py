@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
 from leafscan.llm.language_id import language_id
 from leafscan.llm.token_store import token_output
@@ -54,3 +55,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op8_decontaminate",
+    f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m,
+         unnest(list_transform(range(0, greatest(len(w) - 9, 1)), lambda i: array_to_string(w[i + 1:i + 10], ' '))) AS win
+  FROM items WHERE len(w) > 0),
+places AS (
+  SELECT rid, m, w, unnest(range(0, len(w) - m + 1)) AS s FROM docs CROSS JOIN (SELECT DISTINCT m FROM wins)),
+tried AS (SELECT rid, m, s, array_to_string(w[s + 1:s + m], ' ') AS win FROM places),
+found AS (SELECT rid, t.m, s, win, item_id FROM tried t JOIN wins USING (win)),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + m)) AS p FROM found) GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN named USING (rid)""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -38,20 +38,20 @@ SEEK_END_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 END_ID = 0
-MEMO_ENTRIES = 300_000  # text units whose ids a worker remembers
+MEMO_ENTRIES = 800_000  # text units whose ids a worker remembers
 MEMO_CHARS = 48  # longer units are encoded each time
 READ_BYTES = 4 << 20
 
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _UNIT_START = re.compile(r"(?= \S)")
+_SPACE = re.compile(r"\s")
 
 
 class Encoder:
     """Ids of whole texts, with a bounded memo per text unit.
 
-    The byte-level pre-tokenizer always starts a new piece at a space that is
+    The byte-level pre-tokenizer always starts a new piece at a blank that is
     followed by a non-space, and pieces are encoded independently. So a text
     may be cut there and its units encoded one by one, with the same ids.
     """
@@ -62,33 +62,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+        self.memo: dict[str, bytes] = {}  # ids of a word with a blank before it
+        newline = self._ids(["\n"])[0]
+        self.newline = int(newline[0]) if len(newline) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> None:
+        """Fill the memo. Words go to the tokenizer as lines of one text: a newline is always a piece of its own there."""
+        plain = [w for w in words if not _SPACE.search(w)] if self.newline is not None else []
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            ids = self._ids(["\n".join(" " + w for w in part)])[0]
+            ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            start = 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self.memo[word] = ids[start:end].tobytes()
+                start = end + 1
+        for word in words if self.newline is None else set(words).difference(plain):
+            self.memo[word] = self._ids([" " + word])[0].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         memo = self.memo
-        split: list[list[str]] = []
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                split.append(_UNIT_START.split(text))
+        split = [text.split(" ") for text in texts]
+        heads = [words.pop(0) for words in split]
+        new = set().union(*split).difference(memo)
+        # A blank before another space, or at the end, does not start a unit; a long unit is not remembered.
+        apart = {w for w in new if not w or len(w) > MEMO_CHARS or w[0].isspace()}
+        self._words(list(new - apart))
+        first = [ids.tobytes() for ids in self._ids(heads)]
+        out = []
+        for text, head, words in zip(texts, first, split, strict=True):
+            if apart and not apart.isdisjoint(words):
+                out.append(b"".join(ids.tobytes() for ids in self._ids(_UNIT_START.split(text))))
             else:
-                first, *rest = text.split(" ")
-                split.append([first, *[" " + r for r in rest]])
-        missing = list({u for units in split for u in units if u not in memo})
-        long_units: dict[str, bytes] = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for unit, ids in zip(part, self._plain(part), strict=True):
-                (memo if len(unit) <= MEMO_CHARS else long_units)[unit] = ids
-        if not long_units:
-            return [b"".join(map(memo.__getitem__, units)) for units in split]
-        return [b"".join(memo[u] if u in memo else long_units[u] for u in units) for units in split]
+                out.append(head + b"".join(map(memo.__getitem__, words)))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
