@@ -38,69 +38,90 @@ SEEK_END_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 END_ID = 0
-MEMO_ENTRIES = 800_000  # text units whose ids a worker remembers
+MEMO_ENTRIES = 600_000  # words, and pieces of words, whose ids a worker remembers
 MEMO_CHARS = 48  # longer units are encoded each time
 READ_BYTES = 4 << 20
 
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
 _UNIT_START = re.compile(r"(?= \S)")
-_SPACE = re.compile(r"\s")
+# Fixed values of the byte-level pre-tokenizer: its pattern, and the bytes it leaves as they are.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+KEPT_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# Characters whose classes no version of Unicode changes; units of others go through the whole tokenizer.
+STEADY = r"[\n\x20-\x7E\u00A1-\u024F]*"
+
+
+class _Apart(Exception):
+    """A blank that starts no unit."""
+
+
+class Memo(dict):
+    """Ids by key; a missing key is made, and kept if it is short."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            self[key] = value
+        return value
 
 
 class Encoder:
-    """Ids of whole texts, with a bounded memo per text unit.
+    """Ids of whole texts by a byte-level BPE tokenizer, with bounded memos per unit and piece.
 
-    The byte-level pre-tokenizer always starts a new piece at a blank that is
-    followed by a non-space, and pieces are encoded independently. So a text
-    may be cut there and its units encoded one by one, with the same ids.
+    The pre-tokenizer always starts a new piece at a blank that is followed by
+    a non-space, and pieces are encoded independently. So a text may be cut
+    there and its units encoded one by one, with the same ids; a unit that is
+    new is cut into pieces, and a piece that is new goes to the BPE model.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}  # ids of a word with a blank before it
-        newline = self._ids(["\n"])[0]
-        self.newline = int(newline[0]) if len(newline) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> None:
-        """Fill the memo. Words go to the tokenizer as lines of one text: a newline is always a piece of its own there."""
-        plain = [w for w in words if not _SPACE.search(w)] if self.newline is not None else []
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            ids = self._ids(["\n".join(" " + w for w in part)])[0]
-            ends = np.append(np.flatnonzero(ids == self.newline), len(ids))
-            start = 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                self.memo[word] = ids[start:end].tobytes()
-                start = end + 1
-        for word in words if self.newline is None else set(words).difference(plain):
-            self.memo[word] = self._ids([" " + word])[0].tobytes()
+        self.model = self.tokenizer.model
+        other = iter(range(256, 512))
+        self.byte_chars = {b: b if b in KEPT_BYTES else next(other) for b in range(256)}
+        self.cut, self.steady = regex.compile(PIECES).findall, re.compile(STEADY).fullmatch
+        self.pieces, self.words = Memo(self._piece), Memo(self._word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_chars))
+        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        if self.steady(unit):
+            return b"".join(map(self.pieces.__getitem__, self.cut(unit)))
+        return self._whole(unit)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with the blank before it."""
+        if not word or word[0].isspace():
+            raise _Apart
+        return self._unit(" " + word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo = self.memo
-        split = [text.split(" ") for text in texts]
-        heads = [words.pop(0) for words in split]
-        new = set().union(*split).difference(memo)
-        # A blank before another space, or at the end, does not start a unit; a long unit is not remembered.
-        apart = {w for w in new if not w or len(w) > MEMO_CHARS or w[0].isspace()}
-        self._words(list(new - apart))
-        first = [ids.tobytes() for ids in self._ids(heads)]
+        for memo in (self.pieces, self.words):
+            if len(memo) > MEMO_ENTRIES:
+                memo.clear()
         out = []
-        for text, head, words in zip(texts, first, split, strict=True):
-            if apart and not apart.isdisjoint(words):
-                out.append(b"".join(ids.tobytes() for ids in self._ids(_UNIT_START.split(text))))
-            else:
-                out.append(head + b"".join(map(memo.__getitem__, words)))
+        for text in texts:
+            head, *words = text.split(" ")
+            try:
+                out.append(self._unit(head) + b"".join(map(self.words.__getitem__, words)))
+            except _Apart:
+                out.append(b"".join(map(self._unit, _UNIT_START.split(text))))
         return out
 
 
