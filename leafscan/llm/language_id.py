@@ -13,7 +13,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import held_out, packed, small_batches, unpacked
+from leafscan.llm.common import held_out, keep, packed, small_batches, unpacked
+from leafscan.session import small
 
 UNKNOWN = "und"
 # Bounds of the fitted model; documented parameters of ``fit``.
@@ -59,10 +60,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     named = docs.select(
         F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(order).alias("id")
     ).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    sizes = named.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = keep(named.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     scale = 1 << 30
     share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("rows")) * scale
-    sample = named.join(sizes.withColumn("limit", share.cast("long")), "lang").filter(
+    sample = named.join(small(sizes).withColumn("limit", share.cast("long")), "lang").filter(
         F.pmod(F.xxhash64(F.col("id"), F.crc32(F.col("text").cast("binary"))), F.lit(scale)) < F.col("limit")
     )
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
