@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
+from leafscan.llm.jaccard_join import jaccard_join
 from leafscan.llm.language_id import language_id
 from leafscan.llm.token_store import token_output
 from leafscan.session import configure
@@ -83,3 +84,8 @@ FROM docs LEFT JOIN words USING (rid) LEFT JOIN named USING (rid)""",
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
