@@ -11,6 +11,7 @@ from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
 from leafscan.llm.jaccard_join import jaccard_join
 from leafscan.llm.language_id import language_id
+from leafscan.llm.secrets import BASE, MORE, secrets
 from leafscan.llm.token_store import token_output
 from leafscan.session import configure
 
@@ -89,3 +90,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def _secret_sql() -> str:
+    """Every rule by its matches and the gaps between them."""
+    parts = []
+    for rank, rule in enumerate(BASE + MORE):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(body, '{pattern}') AS found, "
+            f"regexp_extract_all(body, '{pattern}', {rule.group}) AS decisive, string_split_regex(body, '{pattern}') AS gaps FROM docs"
+        )
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+matched AS ({" UNION ALL ".join(parts)}),
+places AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matched),
+spans AS (
+  SELECT rid, rank, kind, start, start + length(found[i]) AS stop FROM (
+    SELECT *, coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+              + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS start FROM places)
+  WHERE length(decisive[i]) >= least),
+lists AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) AS spans,
+         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3) AS base
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (rid)"""
+
+
+@query("op5_secret_scan", _secret_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
