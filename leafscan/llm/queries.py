@@ -11,6 +11,7 @@ from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
 from leafscan.llm.jaccard_join import jaccard_join
 from leafscan.llm.language_id import language_id
+from leafscan.llm.quality import quality_scores
 from leafscan.llm.secrets import BASE, MORE, secrets
 from leafscan.llm.token_store import token_output
 from leafscan.session import configure
@@ -123,3 +124,8 @@ FROM docs LEFT JOIN lists USING (rid)"""
 @query("op5_secret_scan", _secret_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -98,8 +98,8 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(scramble(total))
 
 
-def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The shingle set of every text of an Arrow column; null has none."""
+def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """UTF-8 bytes and word hashes of every text of an Arrow column; null has none."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
@@ -110,20 +110,23 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
         upto = min(max(upto, at + 1), len(texts))
         if upto == at + 1:
             own = data[offsets[at] : offsets[at + 1]]
-            yield shingle_set(np.concatenate([h for _, h in word_hashes(own)] or [np.zeros(0, np.uint64)]))
+            yield own, np.concatenate([np.zeros(0, np.uint64), *[h for _, h in word_hashes(own)]])
         else:
-            base = offsets[at]
-            block = data[base : offsets[upto]]
-            cuts = offsets[at : upto + 1] - base
-            word = np.concatenate([[False], ~_SPACE[block], [False]])
-            inner = cuts[1:-1]
-            begins = np.flatnonzero(word[1:] & ~word[:-1])
-            stops = np.flatnonzero(~word[1:] & word[:-1])
-            glued = inner[(inner > 0) & (inner < len(block))]
-            glued = np.unique(glued[word[glued] & word[glued + 1]])
-            begins, stops = np.sort(np.concatenate([begins, glued])), np.sort(np.concatenate([stops, glued]))
-            hashes = _hash_chunk(block, begins, stops)
-            places = np.searchsorted(begins, cuts)
+            block = data[offsets[at] : offsets[upto]]
+            cuts = offsets[at : upto + 1] - offsets[at]
+            starts, ends = _runs(block)
+            inner = cuts[(cuts > 0) & (cuts < len(block))]
+            word = ~_SPACE[block]
+            glued = np.unique(inner[word[inner - 1] & word[inner]])
+            starts, ends = np.sort(np.concatenate([starts, glued])), np.sort(np.concatenate([ends, glued]))
+            hashes = _hash_chunk(block, starts, ends)
+            places = np.searchsorted(starts, cuts)
             for k in range(upto - at):
-                yield shingle_set(hashes[places[k] : places[k + 1]])
+                yield block[cuts[k] : cuts[k + 1]], hashes[places[k] : places[k + 1]]
         at = upto
+
+
+def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of every text of an Arrow column; null has none."""
+    for _, words in words_of(texts):
+        yield shingle_set(words)
