@@ -11,6 +11,7 @@ from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
 from leafscan.llm.jaccard_join import jaccard_join
 from leafscan.llm.language_id import language_id
+from leafscan.llm.pii import replace_pii
 from leafscan.llm.quality import quality_scores
 from leafscan.llm.secrets import BASE, MORE, secrets
 from leafscan.llm.token_store import token_output
@@ -129,3 +130,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+PII_KEY = "leafscan surrogates"  # of the registered query; a production run passes its own
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
