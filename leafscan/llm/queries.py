@@ -11,6 +11,7 @@ from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
 from leafscan.llm.jaccard_join import jaccard_join
 from leafscan.llm.language_id import language_id
+from leafscan.llm.mixing import mix
 from leafscan.llm.pii import replace_pii
 from leafscan.llm.quality import quality_scores
 from leafscan.llm.secrets import BASE, MORE, secrets
@@ -138,3 +139,8 @@ PII_KEY = "leafscan surrogates"  # of the registered query; a production run pas
 @query("op6_pii_surrogates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), max_repeats=4.0)

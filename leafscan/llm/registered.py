@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from leafscan.llm import queries as base
 from leafscan.llm.queries import QueryFn
 
 
 def queries() -> dict[str, QueryFn]:
-    return dict(base.QUERIES)
+    return base.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(base.ORACLE)
+    return base.ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
