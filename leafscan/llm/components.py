@@ -11,10 +11,10 @@ from leafscan.llm.common import keep
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every end of a link ``a, b``; ``root`` is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the links no longer
-    change. Each step groups by node with partial aggregates and joins the
-    minima back, so no neighbourhood is ever collected; a round is written to
-    the shared folder.
+    A round is a large-star and a small-star step, and is written to the
+    shared folder; rounds end when the links no longer change. Each step groups
+    by node with partial aggregates and joins the minima back, so no
+    neighbourhood is ever collected.
     """
     links = keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
@@ -26,7 +26,6 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = keep(large, "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         links = keep(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct(), "links")

@@ -39,6 +39,7 @@ from leafscan.session import small
 SHARE = 75  # a link needs SHARE hundredths of the union in common
 EXTRA = 15  # hundredths of a set by which the first step's prefix is longer than needed
 CHUNK_TOKENS = 1_000_000
+PIVOTS = 6  # drawn per shingle for the groups that are apart after the first pivot
 CHUNK_DOCS = 60_000  # document numbers in a chunk take two bytes
 TOKENS, TEXTS = 0, 1  # kinds of packed rows
 LOW = np.uint64((1 << 48) - 1)
@@ -297,6 +298,18 @@ def fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SHARE
 
 
+def short_prefix(side: str) -> Column:
+    """Shared tokens in the prefix of a set that meets larger ones only.
+
+    The overlap with a set of n or more elements is at least
+    2 * SHARE / (100 + SHARE) of n, which leaves fewer tokens before the first
+    common one than the prefix against sets of any size.
+    """
+    n, shared = F.col(f"{side}_n"), F.col(f"{side}_shared")
+    least = F.ceil(n * (2 * SHARE) / (100 + SHARE) - 1e-9).cast("long")
+    return n - least + 1 - (n - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link, by their whole sets."""
     own = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -309,46 +322,72 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with ``label``, the component of ``sig`` under the links so far."""
     roots = components(links).select(F.col("node").alias("sig"), "root")
-    return members.join(roots, "sig", "left").select(*members.columns, F.coalesce("root", "sig").alias("label"))
+    return members.join(small(roots), "sig", "left").select(*members.columns, F.coalesce("root", "sig").alias("label"))
+
+
+def pointed(nodes: DataFrame, links: DataFrame, hops: int = 4) -> DataFrame:
+    """``sig, label``: where up to ``hops`` links ``a -> b`` lead, if each set points to one other at most."""
+    step = small(links.select(F.col("a").alias("label"), F.col("b").alias("next")))
+    out = nodes.select("sig", F.col("sig").alias("label"))
+    for _ in range(hops):
+        out = out.join(step, "label", "left").select("sig", F.coalesce("next", "label").alias("label"))
+    return out
 
 
-def near_links(sets: DataFrame, pivot_rounds: int = 2) -> DataFrame:
+def meetings(entries: DataFrame, pivots: DataFrame, most: int) -> DataFrame:
+    """``a, b``: each group with the ``most`` pivots of other labels with which it shares most tokens."""
+    met = entries.join(pivots, "h").filter((F.col("label") != F.col("p.label")) & fits(F.col("n"), F.col("p.n")))
+    counted = met.groupBy("lead", F.col("p.lead").alias("pivot")).agg(F.count("*").alias("hits"))
+    if most == 1:
+        best = counted.groupBy("lead").agg(F.max(F.struct("hits", "pivot")).alias("best"))
+    else:
+        ranked = F.sort_array(F.collect_list(F.struct("hits", "pivot")), asc=False)  # a few per token of the prefix
+        best = counted.groupBy("lead").agg(F.slice(ranked, 1, most).alias("best")).select("lead", F.explode("best").alias("best"))
+    return best.select(F.col("lead").alias("a"), F.col("best.pivot").alias("b"))
+
+
+def near_links(sets: DataFrame) -> DataFrame:
     """Links ``a, b`` between sets; not all, but enough that components are those of all links."""
-    prefix = F.slice("tokens", F.lit(1), F.col("need").cast("int"))
-    sets = sets.withColumn("prefix", prefix)
-    groups = sets.groupBy("n", "prefix").agg(F.min("sig").alias("lead"))
+    sets = sets.withColumn("prefix", F.slice("tokens", F.lit(1), F.col("need").cast("int")))
+    groups = sets.groupBy("n", "prefix").agg(F.min("sig").alias("lead"), F.min(1 - F.size("tokens") / F.col("n")).alias("alone"))
     members = keep(
         sets.join(groups, ["n", "prefix"]).select("sig", "n", "lead", F.size("tokens").cast("long").alias("shared")), "near-members"
     )
-    entries = groups.select("lead", "n", F.posexplode("prefix").alias("pos", "h"))
-    entries = keep(entries.select("lead", "n", F.col("pos").cast("long").alias("pos"), "h"), "near-entries")
+    entries = groups.select("lead", "n", "alone", F.posexplode("prefix").alias("pos", "h"))
+    entries = keep(entries.select("lead", "n", "alone", F.col("pos").cast("long").alias("pos"), "h"), "near-entries")
+
+    # Members meet the lead of their group. A group meets one pivot: of each token's list the set with the smallest
+    # part of its own comes first, which of near copies is the one nearest to their origin.
     inside = members.filter("sig <> lead").select(F.col("sig").alias("a"), F.col("lead").alias("b"))
-    links = keep(verified(inside, sets), "near-links")
-
-    for _ in range(pivot_rounds):
-        # Each group meets the pivot with which it shares most tokens, among those not connected to it yet.
-        leads = labelled(members.filter("sig = lead").select("sig"), links).select(F.col("sig").alias("lead"), "label")
-        met = entries.join(leads, "lead")
-        pivots = met.groupBy("h").agg(F.min(F.struct("label", "lead", "n")).alias("p"), F.max("label").alias("last"))
-        pivots = pivots.filter("p.label <> last").select("h", "p")
-        meeting = met.join(pivots, "h").filter((F.col("label") != F.col("p.label")) & fits(F.col("n"), F.col("p.n")))
-        counted = meeting.groupBy("lead", F.col("p.lead").alias("pivot")).agg(F.count("*").alias("hits"))
-        best = counted.groupBy("lead").agg(F.max(F.struct("hits", "pivot")).alias("best"))
-        pairs = best.select(F.col("lead").alias("a"), F.col("best.pivot").alias("b"))
-        links = keep(links.unionByName(verified(pairs, sets)), "near-links")
+    own = entries.withColumn("label", F.col("lead"))
+    pivots = own.groupBy("h").agg(F.min(F.struct("alone", "lead", "n", "label")).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    links = keep(verified(inside.unionByName(meetings(own, pivots.select("h", "p"), 1)), sets), "near-links")
+
+    # Members still apart from others of a list meet some pivots drawn from it.
+    labels = keep(pointed(members, links), "near-leads")
+    expanded = entries.join(small(members.drop("n")), "lead")
+    own = expanded.join(small(labels), "sig").select("h", F.col("sig").alias("lead"), "n", "label")
+    drawn = [F.min(F.struct(F.xxhash64("lead", F.lit(k)), "lead", "n", "label")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = own.groupBy("h").agg(*drawn, F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last")
+    listed = F.array_distinct(F.array(*[F.struct(f"p{k}.lead", f"p{k}.n", f"p{k}.label") for k in range(PIVOTS)]))
+    more = meetings(own, pivots.select("h", F.explode(listed).alias("p")), PIVOTS)
+    links = keep(links.unionByName(verified(more, sets)), "near-links")
 
     # What is still apart: in a token's list, all members outside its most common component meet all others.
-    rows = entries.join(labelled(members, links).drop("n"), "lead").select("h", "sig", "n", "pos", "shared", "label")
+    rows = expanded.join(small(keep(labelled(members.select("sig"), links), "near-labels")), "sig").select("h", "sig", "n", "pos", "shared", "label")
     rows = keep(rows, "near-rows")
     share = rows.groupBy("h", "label").agg(F.count("*").alias("c"))
     mixed = share.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     mixed = keep(mixed.select("h", F.col("top.label").alias("top")), "near-mixed")
-    apart = rows.join(mixed, "h")
+    apart = rows.join(small(mixed), "h")
     x = apart.filter("label <> top").select("h", *[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "pos", "shared", "label")])
     y = apart.select("h", *[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "pos", "shared", "label")])
-    most = 1 + F.least(F.col("x_shared") - F.col("x_pos"), F.col("y_shared") - F.col("y_pos")) - 1
+    most = F.least(F.col("x_shared") - F.col("x_pos"), F.col("y_shared") - F.col("y_pos"))
     enough = most * (100 + SHARE) >= (F.col("x_n") + F.col("y_n")) * SHARE  # from the first common token on
-    pairs = x.join(y, "h").filter((F.col("x_label") != F.col("y_label")) & fits(F.col("x_n"), F.col("y_n")) & enough)
+    # A shorter prefix of the smaller set is enough: it has common tokens for more than half of both sets.
+    x_smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sig") < F.col("y_sig")))
+    early = F.when(x_smaller, F.col("x_pos") < short_prefix("x")).otherwise(F.col("y_pos") < short_prefix("y"))
+    pairs = x.join(y, "h").filter((F.col("x_label") != F.col("y_label")) & fits(F.col("x_n"), F.col("y_n")) & enough & early)
     pairs = pairs.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
     return links.unionByName(verified(keep(pairs, "near-pairs"), sets))
 
