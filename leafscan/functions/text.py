@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,9 +71,13 @@ def _balance(col: Column, common: tuple[str, ...], markers: str, weight: int) ->
 def _reencode(col: Column, lossy: bool) -> Column:
     """Bytes of the GB18030 form read as UTF-8; NULL (strict) or repaired (lossy) when invalid."""
     raw = F.encode(col, "GB18030").cast("string")
-    if not lossy:
-        return F.try_validate_utf8(raw)
-    return F.regexp_replace(F.make_valid_utf8(raw), "�", "")
+    return without_invalid(raw) if lossy else F.try_validate_utf8(raw)
+
+
+def without_invalid(raw: Column) -> Column:
+    """Valid UTF-8 of a string's bytes: undecodable ones are left out, a replacement character that stands there stays."""
+    kept = F.replace(raw, F.lit("\ufffd"), F.lit("\ue0f0\ufdd0\ue0f1"))  # holds a noncharacter, which no text has
+    return F.replace(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")), F.lit("\ue0f0\ufdd0\ue0f1"), F.lit("\ufffd"))
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -203,18 +209,37 @@ def _unwrap_details(c: Column) -> Column:
     )
 
 
-# Named entities met in web text.
-ENTITIES = {
-    "&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
-    "&ldquo;": "“", "&rdquo;": "”", "&lsquo;": "‘", "&rsquo;": "’", "&mdash;": "—", "&ndash;": "–",
-    "&hellip;": "…", "&middot;": "·", "&yen;": "¥", "&copy;": "©", "&times;": "×",
-}
-
-
 def unescape(col: Column) -> Column:
-    for name, value in ENTITIES.items():
-        col = F.replace(col, F.lit(name), F.lit(value))
-    return F.replace(col, F.lit("&amp;"), F.lit("&"))
+    """Character references as HTML 5 reads them, in one pass: any name, decimal and hexadecimal numbers.
+
+    The names come from Python's public table; old names also count without
+    their semicolon, the longest first. Numbers of no character give U+FFFD,
+    and 128 to 159 are read as Windows-1252, as browsers do.
+    """
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+    def number(code: Column) -> Column:
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        cp1252 = F.decode(F.unhex(F.lpad(F.hex(code), 2, "0")), "windows-1252")
+        wrong = code.isNull() | (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return F.when(wrong, "\ufffd").when(code.between(128, 159), cp1252).otherwise(wide)
+
+    def piece(p: Column, i: Column) -> Column:
+        dec, hexa = F.regexp_extract(p, "^#[0-9]+;?", 0), F.regexp_extract(p, "^#[xX][0-9a-fA-F]+;?", 0)
+        full, short = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(p, f"^(?:{old})", 0)
+        rest = lambda found: F.substring(p, F.length(found) + 1, F.length(p))
+        digits = lambda found: F.regexp_replace(found, "[#xX;]", "")
+        return (
+            F.when(i == 0, p)
+            .when(hexa != "", F.concat(number(F.conv(F.right(digits(hexa), F.lit(9)), 16, 10).cast("bigint")), rest(hexa)))
+            .when(dec != "", F.concat(number(digits(dec).try_cast("bigint")), rest(dec)))
+            .when((full != "") & F.map_contains_key(table, full), F.concat(F.element_at(table, full), rest(full)))
+            .when(short != "", F.concat(F.element_at(table, short), rest(short)))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    return F.when(F.contains(col, F.lit("&")), F.array_join(F.transform(F.split(col, "&", -1), piece), "")).otherwise(col)
 
 
 def html_text(col: Column | str) -> Column:

@@ -257,13 +257,18 @@ def section_walk(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     return roots.unionByName(children).unionByName(above)
 
 
-def pages_by_heading(pages: DataFrame, max_keys: int = 80) -> DataFrame:
-    """Pages per heading key, and the first keys of each document in key order."""
-    grouped = pages.groupBy("doc_id", heading_text().alias("heading")).agg(
+def pages_by_heading(pages: DataFrame) -> DataFrame:
+    """Pages per heading key of a document; pages without a heading have no key."""
+    return pages.select("doc_id", heading_text().alias("heading"), "page_no", "page_id").filter("heading <> ''").groupBy("doc_id", "heading").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page_id"))), lambda x: x["page_id"]).alias("page_ids")
     )
+
+
+def listed_headings(pages: DataFrame, max_keys: int = 80) -> DataFrame:
+    """The first heading keys of each document in key order, for printed lists."""
+    keys = pages.select("doc_id", heading_text().alias("heading")).filter("heading <> ''").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("heading"))
-    return grouped.withColumn("key_no", rank).filter(F.col("key_no") <= max_keys)
+    return keys.withColumn("key_no", rank).filter(F.col("key_no") <= max_keys)
 
 
 # --- E9, A10, A11, E12, E13 ------------------------------------------------
@@ -386,7 +391,7 @@ def catalog_text(catalog: DataFrame) -> DataFrame:
 def toc_for_docs(section_table: DataFrame, pages: DataFrame, max_lines: int = 120) -> DataFrame:
     """Tree lines of a document, or its heading list when it has no tree."""
     tree = tree_text(section_table, max_lines)
-    keys = pages_by_heading(pages, max_lines).filter(F.col("heading") != "")
+    keys = listed_headings(pages, max_lines)
     listed = keys.groupBy("doc_id").agg(_ordered_lines("key_no", F.concat(F.lit("- "), F.col("heading"))).alias("listed"))
     return (
         tree.join(listed, "doc_id", "full")

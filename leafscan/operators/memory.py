@@ -261,13 +261,17 @@ def reset(df: DataFrame, session_ids: DataFrame) -> DataFrame:
     return df.join(session_ids.select("session_id"), "session_id", "left_anti")
 
 
+TURN_CHARS = len("Turn 1: query=; domain=; docs=; answer=")
+
+
 def summaries(turns: DataFrame) -> DataFrame:
     """Running summary after every fourth turn, cut at 2500 characters.
 
-    Cutting keeps the beginning, and four turn lines hold over 150 characters,
-    so blocks after the 24th cannot change a summary: groups stay small.
+    Cutting keeps the beginning. A turn line has at least ``TURN_CHARS``
+    characters, so only the first turns of complete blocks, by their rank and
+    not their number, can change a summary; the rank limit prunes map-side.
     """
-    deciding = 24
+    deciding = MAX_SUMMARY_CHARS // TURN_CHARS + 1
     docs = F.array_join(F.slice("doc_ids", 1, 6), ",")
     line = F.concat(
         F.lit("Turn "), F.col("turn_index").cast("string"), F.lit(": query="), X.clip("user_query", 160),
@@ -277,11 +281,13 @@ def summaries(turns: DataFrame) -> DataFrame:
     block = F.ceil(F.col("turn_index") / COMPRESS_EVERY)
     complete = F.max("turn_index").alias("last_turn")
     lasts = turns.groupBy("session_id").agg(complete)
-    rows = turns.filter(F.col("turn_index") <= deciding * COMPRESS_EVERY).select("session_id", "turn_index", block.alias("block"), line.alias("line"))
+    rows = turns.select("session_id", "turn_index", block.alias("block"), line.alias("line"))
+    rows = rows.join(lasts, "session_id").filter(F.col("block") * COMPRESS_EVERY <= F.col("last_turn")).drop("last_turn")
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_index"))
+    rows = rows.withColumn("rank", rank).filter(F.col("rank") <= deciding).drop("rank")
     blocks = rows.groupBy("session_id", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "line"))), lambda x: x["line"]), " ").alias("text")
     )
-    blocks = blocks.join(lasts, "session_id").filter(F.col("block") * COMPRESS_EVERY <= F.col("last_turn"))
     folded = F.aggregate(
         F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: b["text"]),
         F.lit(""),

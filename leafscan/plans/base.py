@@ -121,6 +121,12 @@ qs AS (
   SELECT 'q' || item_id AS qid, CASE WHEN item_id % 4 = 3 THEN 'fr' ELSE 'en' END AS domain, text AS query
   FROM benchmark)"""
 
+def falls_on(spark: SparkSession, d: str, number):
+    """The benchmark query on which a document's number falls: all documents are dealt to the queries in turn."""
+    items = table(spark, d, "benchmark").agg(F.max("item_id") + 1).first()[0] or 1
+    return F.concat(F.lit("q"), number % items)
+
+
 # Terms of queries and pages, and BM25 scores of every matching pair.
 BM25_SQL = (
     PAGES_SQL
@@ -150,18 +156,13 @@ bm AS (
 
 
 def markdown_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as markdown: every non-blank line gets a heading from its first words, four of five keep a body."""
+    """Documents as markdown: every non-blank line gets a heading from its first words; an empty heading precedes each fifth."""
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "num")
     kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     level = lambda i: 1 + F.pmod(i * 7 + F.col("num"), F.lit(4)).cast("int")
+    heading = lambda x, i, chars: F.concat(F.rpad(F.lit("#"), level(i), "#"), F.lit(" "), F.trim(F.substring(F.trim(x), 1, chars)), F.lit("\n"))
     parts = F.transform(
-        kept,
-        lambda x, i: F.concat(
-            F.rpad(F.lit("#"), level(i), "#"),
-            F.lit(" "),
-            F.trim(F.substring(F.trim(x), 1, 24)),
-            F.when(i % 5 == 4, F.lit("")).otherwise(F.concat(F.lit("\n"), x)),
-        ),
+        kept, lambda x, i: F.concat(F.when(i % 5 == 4, heading(x, i + 3, 12)).otherwise(""), heading(x, i, 24), x)
     )
     return docs.select(
         F.concat(F.lit("d"), "num").alias("doc_id"),
@@ -184,8 +185,10 @@ md_lines AS (
            generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
   WHERE trim(x) <> ''),
 heads AS (
-  SELECT 'd' || num AS doc_id, lang AS domain, i + 1 AS toc_no, CAST(1 + (i * 7 + num) % 4 AS BIGINT) AS level,
-         trim(substr(x, 1, 24)) AS title, CASE WHEN i % 5 = 4 THEN '' ELSE x END AS text FROM md_lines),
+  SELECT 'd' || num AS doc_id, lang AS domain, i + 1 + (i + 1) // 5 AS toc_no, CAST(1 + (i * 7 + num) % 4 AS BIGINT) AS level,
+         trim(substr(x, 1, 24)) AS title, x AS text FROM md_lines
+  UNION ALL
+  SELECT 'd' || num, lang, i + 1 + i // 5, CAST(1 + ((i + 3) * 7 + num) % 4 AS BIGINT), trim(substr(x, 1, 12)), '' FROM md_lines WHERE i % 5 = 4),
 marks AS (
   SELECT *, max(CASE WHEN level = 1 THEN toc_no END) OVER w AS p1, max(CASE WHEN level = 2 THEN toc_no END) OVER w AS p2,
          max(CASE WHEN level = 3 THEN toc_no END) OVER w AS p3 FROM heads

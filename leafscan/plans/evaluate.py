@@ -214,13 +214,13 @@ def d28(spark, d):
 
 @query(
     "d24_normalize_answers",
-    """WITH t AS (SELECT doc_id, ['multi', 'mcq', 'tf', 'free'][doc_id % 4 + 1] AS form, list_filter(regexp_extract_all(upper(substr(text, 1, 60)), '[A-D]'), lambda x: true) AS l FROM documents)
+    """WITH t AS (SELECT doc_id, ['multi', 'mcq', 'tf', 'free'][doc_id % 4 + 1] AS form, list_filter(regexp_extract_all(upper(text), '[A-D]'), lambda x: true) AS l FROM documents)
     SELECT doc_id, CASE WHEN form IN ('mcq', 'tf') THEN coalesce(l[1], '') ELSE array_to_string(list_sort(list_distinct(l)), '') END AS answer FROM t""",
 )
 def d24(spark, d):
     forms = F.array(*[F.lit(x) for x in ("multi", "mcq", "tf", "free")])
     form = F.element_at(forms, (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", E.normalize_answer(F.substring("text", 1, 60), form).alias("answer"))
+    return table(spark, d, "documents").select("doc_id", E.normalize_answer(F.col("text"), form).alias("answer"))
 
 
 # --- K -----------------------------------------------------------------------

@@ -11,7 +11,7 @@ from leafscan.operators import index as I
 from leafscan.operators import search as Q
 from leafscan.operators import sections as S
 from leafscan.plans.base import BM25_SQL, PAGES_SQL, R3, TREE_SQL
-from leafscan.plans.base import bench_queries, line_pages, markdown_index, query, r3, table
+from leafscan.plans.base import bench_queries, falls_on, line_pages, markdown_index, query, r3, table
 from leafscan.plans.evaluate import ORDERS_SQL, order_pages
 from leafscan.plans.search import TOP_SQL
 
@@ -31,13 +31,13 @@ def num(c):
 
 
 def section_requests(spark, d, ix):
-    """Every benchmark text asks a tenth of the documents."""
-    docs = ix["documents"].select("doc_id")
-    return bench_queries(spark, d).join(docs, num("qid") % 10 == num("doc_id") % 10)
+    """Every document is asked by the benchmark text on which its number falls."""
+    docs = ix["documents"].select("doc_id", falls_on(spark, d, num("doc_id")).alias("qid"))
+    return bench_queries(spark, d).join(docs, "qid")
 
 
 REQ_SQL = """
-req AS (SELECT 'q' || item_id AS qid, b.text AS query, 'd' || d.doc_id AS doc_id FROM benchmark b JOIN documents d ON d.doc_id % 10 = b.item_id % 10),
+req AS (SELECT 'q' || item_id AS qid, b.text AS query, 'd' || d.doc_id AS doc_id FROM benchmark b JOIN documents d ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
 qtk AS (SELECT DISTINCT 'q' || item_id AS qid, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.%-]+')) AS tok FROM benchmark),
 stk AS (SELECT DISTINCT doc_id, section_id, toc_no, unnest(regexp_extract_all(lower(array_to_string(path, ' ')), '[A-Za-z0-9_.%-]+')) AS tok FROM secs),
 ss AS (SELECT req.qid, req.doc_id, section_id, toc_no, 4.0 * count(*) AS score FROM req JOIN stk ON stk.doc_id = req.doc_id
@@ -66,16 +66,16 @@ def f10(spark, d):
 @query(
     "f11_resolve_sections",
     f"""WITH {TREE_SQL}, {REQ_SQL}, ch AS (SELECT qid, req.doc_id, section_id, min(toc_no) AS pos FROM req JOIN secs ON secs.doc_id = req.doc_id
-      WHERE toc_no % 4 = 2 AND CAST(substr(qid, 2) AS BIGINT) % 2 = 0 GROUP BY ALL),
+      WHERE CAST(substr(qid, 2) AS BIGINT) % 2 = 0 GROUP BY ALL),
     kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY pos) AS section_rank FROM ch) WHERE section_rank <= 3)
     SELECT qid, doc_id, section_id, section_rank FROM kept
     UNION ALL SELECT qid, doc_id, section_id, section_rank FROM sel WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.qid = sel.qid AND k.doc_id = sel.doc_id)""",
 )
 def f11(spark, d):
-    """Even queries choose every fourth section and one that does not exist; odd ones fall back."""
+    """Even queries choose all sections and one that does not exist; odd ones fall back."""
     ix, rows, _ = tree(spark, d)
     requests = section_requests(spark, d, ix)
-    real = requests.filter(num("qid") % 2 == 0).join(rows.filter("toc_no % 4 = 2"), "doc_id").select("qid", "doc_id", F.col("toc_no").alias("pos"), "section_id")
+    real = requests.filter(num("qid") % 2 == 0).join(rows, "doc_id").select("qid", "doc_id", F.col("toc_no").alias("pos"), "section_id")
     fake = requests.select("qid", "doc_id", F.lit(0).alias("pos"), F.lit("nowhere").alias("section_id"))
     fallback = S.select_sections(S.section_score(requests, rows))
     return S.resolve_sections(real.unionByName(fake), rows, fallback).select("qid", "doc_id", "section_id", "section_rank")
@@ -138,7 +138,7 @@ def f14(spark, d):
 def f15(spark, d):
     """Every heading of a document as a short text that names its section."""
     ix, rows, bridge = tree(spark, d)
-    evidence = rows.filter("toc_no <= 3").select(
+    evidence = rows.select(
         F.col("doc_id").alias("qid"), F.col("section_id").alias("evidence_id"), "doc_id", F.col("title").alias("text"),
         F.array(F.col("section_id")).alias("selected_section_ids"),
     )
@@ -147,11 +147,11 @@ def f15(spark, d):
 
 @query("f16_hint_search")
 def f16(spark, d):
-    """Hints are section titles, words of a body, or nothing the document holds."""
+    """Every section gives a hint: its title, words of a body, or nothing the document holds."""
     ix, rows, bridge = tree(spark, d)
-    third = rows.filter("toc_no = 3").select("doc_id", "title")
-    hints = third.join(ix["documents"].select("doc_id", "domain"), "doc_id").select(
-        F.col("doc_id").alias("qid"), "domain", "doc_id",
+    titles = rows.select("doc_id", "section_id", "title")
+    hints = titles.join(ix["documents"].select("doc_id", "domain"), "doc_id").select(
+        F.col("section_id").alias("qid"), "domain", "doc_id",
         F.when(num("doc_id") % 3 == 0, F.col("title")).when(num("doc_id") % 3 == 1, F.lit("1. the")).otherwise(F.lit("zzqq")).alias("hint"),
         F.col("title").alias("query"),
     )
@@ -484,7 +484,7 @@ def f39(spark, d):
 @query("f40_repair_round")
 def f40(spark, d):
     ix, rows, bridge = tree(spark, d)
-    hints = rows.filter("toc_no <= 4").join(ix["documents"].select("doc_id", "domain"), "doc_id").select(
+    hints = rows.join(ix["documents"].select("doc_id", "domain"), "doc_id").select(
         F.col("doc_id").alias("qid"), F.col("toc_no").alias("ord"), "domain", "doc_id", F.col("title").alias("hint"), F.lit("").alias("query"), F.array(F.col("title")).alias("key_terms")
     )
     return V.repair_round(hints, rows.withColumn("preview", F.lit("")), bridge, ix["pages"]).select("qid", "ord", "evidence_id", "source")

@@ -89,13 +89,19 @@ def g4(spark, d):
     return R.strong_hit(R.catalog_search(supplier_questions(spark, d).select("qid", "query"), profiles(spark, d)))
 
 
+def fallen(spark, d, q, p):
+    """All customers, dealt to the supplier questions in turn: ``qid, doc_id``."""
+    suppliers = table(spark, d, "supplier").count() or 1
+    number = lambda c: F.pmod(F.substring(c, 2, 20).cast("bigint"), F.lit(suppliers))
+    return p.select("doc_id", number("doc_id").alias("n")).join(q.select("qid", number("qid").alias("n")), "n").select("qid", "doc_id")
+
+
 @query("g3_chat_route")
 def g3(spark, d):
-    """Every supplier question against the first documents of its domain."""
+    """Every supplier question against the customers that fall on it."""
     q = supplier_questions(spark, d)
     p = profiles(spark, d)
-    first = p.withColumn("ord", Q.rank_by(["domain"], F.col("doc_id"))).filter("ord <= 5").select("domain", "doc_id", "ord")
-    candidates = q.select("qid", "domain").join(first, "domain").select("qid", "doc_id", "ord")
+    candidates = fallen(spark, d, q, p).withColumn("ord", Q.rank_by(["qid"], F.col("doc_id")))
     return R.chat_route(candidates, q.select("qid", "query"), p)
 
 
@@ -145,12 +151,12 @@ def g5(spark, d):
 
 
 def claims(spark, d):
-    """Every supplier question put to the first customers of its domain and to the customer it names."""
+    """Every supplier question put to the customers that fall on it and to the customer it names."""
     p = profiles(spark, d)
     q = supplier_questions(spark, d)
-    first = p.withColumn("ord", Q.rank_by(["domain"], F.col("doc_id"))).filter("ord <= 5").select("domain", "doc_id")
     named = q.select("qid", F.concat(F.lit("c"), F.lpad(F.substring("qid", 2, 20), 7, "0")).alias("doc_id"), F.col("query").alias("claim"))
-    return q.select("qid", "domain", F.col("query").alias("claim")).join(first, "domain").select("qid", "doc_id", "claim").unionByName(named).distinct()
+    asked = fallen(spark, d, q, p).join(q.select("qid", F.col("query").alias("claim")), "qid")
+    return asked.select("qid", "doc_id", "claim").unionByName(named).distinct()
 
 
 @query("g7_doc_hints")

@@ -9,7 +9,7 @@ from leafscan.operators import index as I
 from leafscan.operators import search as Q
 from leafscan.operators import segment as S
 from leafscan.plans.base import BM25_SQL, PAGES_SQL, QUERIES_SQL, R3, TREE_SQL
-from leafscan.plans.base import bench_queries, line_pages, markdown_docs, markdown_index, markdown_outline, query, r3, table
+from leafscan.plans.base import bench_queries, falls_on, line_pages, markdown_docs, markdown_index, markdown_outline, query, r3, table
 
 SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
@@ -113,17 +113,15 @@ def e10_corpus(spark, d):
 
 @query(
     "f2_bm25_scores",
-    f"""WITH {BM25_SQL}, allowed AS (SELECT qid, doc_id FROM qs, (SELECT DISTINCT doc_id, domain FROM pg) p
-      WHERE p.domain = qs.domain AND ord(right(p.doc_id, 1)) % 2 = ord(right(qs.qid, 1)) % 2)
+    f"""WITH {BM25_SQL}, allowed AS (SELECT qid, doc_id FROM qs JOIN (SELECT DISTINCT doc_id, domain FROM pg) p
+      ON p.domain = qs.domain AND 'q' || (CAST(substr(p.doc_id, 2) AS BIGINT) % (SELECT max(item_id) + 1 FROM benchmark)) = qs.qid)
     SELECT bm.qid, bm.page_id, round(score, 3) AS score FROM bm JOIN allowed a ON a.qid = bm.qid AND a.doc_id = bm.doc_id""",
 )
 def f2(spark, d):
     """Scores under a document filter: statistics still cover the whole domain."""
     queries, pages = bench_queries(spark, d), line_pages(spark, d)
-    last = lambda c: F.ascii(F.substring(c, -1, 1)) % 2
-    allowed = (
-        pages.select("doc_id", "domain").distinct().join(queries.select("qid", "domain"), "domain").filter(last("doc_id") == last("qid"))
-    )
+    docs = pages.select("doc_id", "domain").distinct()
+    allowed = docs.withColumn("qid", falls_on(spark, d, F.substring("doc_id", 2, 20).cast("bigint"))).join(queries.select("qid", "domain"), ["qid", "domain"])
     return Q.bm25(queries, pages, allowed).select("qid", "page_id", F.round("score", 3).alias("score"))
 
 
@@ -231,15 +229,15 @@ def f5(spark, d):
 @query(
     "f7_retrieve_multi",
     f"""WITH {BM25_SQL}, req AS (SELECT qid, qs.domain, p.doc_id FROM qs JOIN (SELECT DISTINCT doc_id, domain FROM pg) p
-      ON p.domain = qs.domain AND CAST(substr(p.doc_id, 2) AS BIGINT) % 10 = CAST(substr(qid, 2) AS BIGINT) % 10),
+      ON p.domain = qs.domain AND 'q' || (CAST(substr(p.doc_id, 2) AS BIGINT) % (SELECT max(item_id) + 1 FROM benchmark)) = qid),
     r AS (SELECT bm.*, row_number() OVER (PARTITION BY bm.qid, bm.doc_id ORDER BY round(score, 6) DESC, page_no) AS rank
       FROM bm JOIN req ON req.qid = bm.qid AND req.doc_id = bm.doc_id)
     SELECT qid, page_id AS evidence_id, doc_id, {R3.format('round(score, 6)')} AS score, rank FROM r WHERE rank <= 2""",
 )
 def f7(spark, d):
     queries, pages = bench_queries(spark, d), line_pages(spark, d)
-    num = lambda c: F.substring(c, 2, 20).cast("bigint") % 10
-    requests = queries.join(pages.select("doc_id", "domain").distinct(), "domain").filter(num("doc_id") == num("qid"))
+    docs = pages.select("doc_id", "domain").distinct()
+    requests = queries.join(docs.withColumn("qid", falls_on(spark, d, F.substring("doc_id", 2, 20).cast("bigint"))), ["qid", "domain"])
     return Q.retrieve_multi(requests, pages, 2, "initial").select(
         "qid", "evidence_id", "doc_id", r3("score").alias("score"), "rank"
     )
@@ -352,8 +350,8 @@ def e5(spark, d):
 
 @query(
     "e6_pages_by_heading",
-    f"""WITH {TREE_SQL}, k AS (SELECT doc_id, array_to_string(path, ' > ') AS heading, string_agg(page_id, '|' ORDER BY page_no) AS page_ids FROM pgs GROUP BY ALL)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY heading) AS key_no FROM k) WHERE key_no <= 80""",
+    f"""WITH {TREE_SQL} SELECT doc_id, array_to_string(path, ' > ') AS heading, string_agg(page_id, '|' ORDER BY page_no) AS page_ids
+    FROM pgs GROUP BY ALL HAVING heading <> ''""",
 )
 def e6(spark, d):
     return I.pages_by_heading(markdown_index(spark, d)["pages"])

@@ -16,7 +16,7 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 def _text() -> Column:
     """UTF-8 text; invalid bytes are left out."""
-    return F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
+    return X.without_invalid(F.col("content").cast("string"))
 
 
 def read_corpus(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
