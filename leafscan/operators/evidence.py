@@ -727,11 +727,17 @@ def initial_round(options: DataFrame, plans: DataFrame, slots: DataFrame, docs:
     Planned searches ``plans(qid, ord, query, doc_id)`` come first, else up to
     four slot queries on the target documents ``docs(qid, doc_id)``, else the
     question with the claim. The first two are joined by summary pages,
-    re-ranked and capped by the number of documents.
+    re-ranked and capped by the number of documents. Slot queries keep the
+    order of slots and of each list; target documents that of ``doc_ord``,
+    or of their id without it.
     """
-    n_docs = docs.groupBy("qid").agg(F.countDistinct("doc_id").alias("n_docs"))
-    texts = slots.withColumn("query", F.explode("queries")).select("qid", "ord", X.strip(X.repair("query")).alias("query")).filter("query <> ''")
-    texts = texts.groupBy("qid", "query").agg(F.min("ord").alias("ord")).withColumn("ord", Q.rank_by(["qid"], F.col("ord"), F.col("query"))).filter("ord <= 4")
+    place = F.col("doc_ord") if "doc_ord" in docs.columns else F.col("doc_id")
+    docs = docs.groupBy("qid", "doc_id").agg(F.min(place).alias("doc_ord"))
+    n_docs = docs.groupBy("qid").agg(F.count("*").alias("n_docs"))
+    texts = slots.select("qid", "ord", F.posexplode("queries").alias("pos", "query"))
+    texts = texts.select("qid", "ord", "pos", X.strip(X.repair("query")).alias("query")).filter("query <> ''")
+    texts = texts.groupBy("qid", "query").agg(F.min(F.struct("ord", "pos")).alias("first"))
+    texts = texts.withColumn("ord", Q.rank_by(["qid"], F.col("first"))).filter("ord <= 4").drop("first")
     planned = plans.select("qid", "ord", "query", "doc_id", F.lit(1).alias("tier"), F.lit(2).alias("k"))
     by_slot = texts.join(docs.select("qid", "doc_id").distinct(), "qid").select("qid", "ord", "query", "doc_id", F.lit(2).alias("tier"), F.lit(2).alias("k"))
     whole = F.concat(X.repair("question"), F.lit("\n"), "option", F.lit(". "), "claim")
@@ -743,7 +749,8 @@ def initial_round(options: DataFrame, plans: DataFrame, slots: DataFrame, docs:
 
     hits = Q.retrieve_multi(asked.select(F.col("rid").alias("qid"), "domain", "query", "doc_id"), pages, INITIAL_K, "initial")
     hits = hits.withColumnRenamed("qid", "rid").join(asked.select("rid", "qid", "doc_id", F.col("ord").alias("query_ord"), "k", "tier"), ["rid", "doc_id"]).filter("rank <= k")
-    hits = hits.withColumn("ord", Q.rank_by(["qid"], F.col("query_ord"), F.col("doc_id"), F.col("rank")))
+    hits = hits.join(docs, ["qid", "doc_id"], "left")
+    hits = hits.withColumn("ord", Q.rank_by(["qid"], F.col("query_ord"), F.col("doc_ord").asc_nulls_last(), F.col("doc_id"), F.col("rank")))
     cols = ["qid", "evidence_id", "doc_id", "page_id", "page_no", "heading_path", "text", "score", "source", "ord"]
     tier = asked.groupBy("qid").agg(F.min("tier").alias("tier"))
 
@@ -751,7 +758,7 @@ def initial_round(options: DataFrame, plans: DataFrame, slots: DataFrame, docs:
     extra = asked.filter("tier < 3").groupBy("qid").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "query"))), lambda x: x["query"])), " ").alias("asked"))
     query = options.join(slot_words, "qid", "left").join(extra, "qid").select("qid", F.concat_ws(" ", "claim", X.falsy_null("words"), X.falsy_null("asked")).alias("query"))
     summary = summary_candidates(pages, query.join(docs.select("qid", "doc_id").distinct(), "qid"))
-    summary = summary.withColumn("ord", Q.rank_by(["qid"], F.col("doc_id"), F.col("rank"))).select(*cols)
+    summary = summary.join(docs, ["qid", "doc_id"], "left").withColumn("ord", Q.rank_by(["qid"], F.col("doc_ord"), F.col("doc_id"), F.col("rank"))).select(*cols)
     ranked = rerank(merge_evidence(hits.join(tier.filter("tier < 3"), "qid", "left_semi").select(*cols), summary), query)
     cap = F.greatest(F.lit(INITIAL_K + 2), F.least(F.lit(10), F.col("n_docs") * (INITIAL_K + 2)))
     ranked = ranked.join(n_docs, "qid").filter(F.col("rank") <= cap).withColumn("ord", F.col("rank")).select(*cols)
@@ -760,24 +767,39 @@ def initial_round(options: DataFrame, plans: DataFrame, slots: DataFrame, docs:
 
 
 def followup_round(missing: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """evidence for ``missing(qid, domain, slot, query, key_terms)``: the query and its ratio parts, term coverage, slot re-rank."""
+    """evidence for ``missing(qid, domain, slot, query, key_terms)``: the query and its ratio parts, term coverage, slot re-rank.
+
+    Every missing slot is a request of its own, with its own cap; the result
+    carries ``slot``. A slot with ``target_doc_ids`` looks there, any other in
+    all documents of its question.
+    """
+    slot_id = F.concat_ws("\x1f", "qid", F.coalesce("slot", F.lit("")))
+    asked_slots = missing.withColumn("sid", slot_id)
+    named = asked_slots.select("qid", "slot", "sid").distinct()
+    targets = named.join(docs.select("qid", "doc_id").distinct(), "qid").select("sid", "doc_id")
+    if "target_doc_ids" in missing.columns:
+        own = asked_slots.select("sid", F.explode("target_doc_ids").alias("doc_id")).distinct()
+        targets = own.unionByName(targets.join(own.select("sid").distinct(), "sid", "left_anti"))
+    targets = targets.withColumnRenamed("sid", "qid")
+    asked_slots = asked_slots.withColumn("qid", F.col("sid"))
+
     queries = F.array_distinct(F.concat(F.array("query"), ratio_parts(F.col("query"))))
-    asked = missing.filter("query <> ''").select("qid", "domain", F.posexplode(queries).alias("ord", "query"))
-    targets = docs.select("qid", "doc_id").distinct()
+    asked = asked_slots.filter("query <> ''").select("qid", "domain", F.posexplode(queries).alias("ord", "query"))
     requests = asked.join(targets, "qid").withColumn("rid", F.concat_ws("#", "qid", F.col("ord").cast("string")))
     hits = Q.retrieve_multi(requests.select(F.col("rid").alias("qid"), "domain", "query", "doc_id"), pages, FOLLOWUP_K, "followup")
     hits = hits.withColumnRenamed("qid", "rid").join(requests.select("rid", "qid", "doc_id", F.col("ord").alias("query_ord")), ["rid", "doc_id"])
     hits = hits.withColumn("source", F.when(F.col("query_ord") > 0, "followup_computed_part").otherwise(F.col("source")))
     hits = hits.withColumn("ord", Q.rank_by(["qid"], F.col("query_ord"), F.col("doc_id"), F.col("rank")))
     cols = ["qid", "evidence_id", "doc_id", "page_id", "page_no", "heading_path", "text", "score", "source", "ord"]
-    terms = missing.select("qid", key_terms(F.col("key_terms"), F.concat_ws(" ", "slot", "query"), 10).alias("key_terms"))
+    terms = asked_slots.select("qid", key_terms(F.col("key_terms"), F.concat_ws(" ", "slot", "query"), 10).alias("key_terms"))
     covered = term_coverage(pages, targets.join(terms, "qid"))
     covered = covered.withColumn("ord", Q.rank_by(["qid"], F.col("doc_id"), F.col("rank"))).select(*cols)
     merged = merge_evidence(hits.select(*cols), covered)
     n_docs = targets.groupBy("qid").agg(F.count("*").alias("n_docs"))
     cap = F.greatest(F.lit(FOLLOWUP_K + 2), F.least(F.lit(8), F.col("n_docs") * (FOLLOWUP_K + 1)))
-    slots = missing.select("qid", "slot", "query").join(terms, "qid").join(n_docs, "qid").withColumn("cap", cap).drop("n_docs")
-    return rerank_slot(merged, slots)
+    slots = asked_slots.select("qid", "slot", "query").join(terms, "qid").join(n_docs, "qid").withColumn("cap", cap).drop("n_docs")
+    found = rerank_slot(merged, slots).drop("slot").withColumnRenamed("qid", "sid")
+    return found.join(named, "sid").drop("sid")
 
 
 def repair_round(hints: DataFrame, sections: DataFrame, bridge: DataFrame, pages: DataFrame) -> DataFrame:
