@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry
 from check import connect, differences
 
+from leafscan.plans import registry
+
 SF_DIR = os.environ.get("LEAFSCAN_TEST_DIR", "/root/testdata/sf0.001")
 
 
@@ -18,11 +20,21 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# Iterative or free-text rules that SQL cannot say; their operators have tests of their own in test_jobs and test_text.
+ROWS_ONLY = set(
+    "b4_html_text c3_split_legal c5_split_corpus c6_pack_paragraphs c8_subsplit c9_inner_split d7_entities d12_referenced_slots f13_section_context "
+    "f15_expand_pointers f16_hint_search f23_local_subsearch f24_inner_focus f25_focus f26_evidence_notes f29_reference_followup f38_initial_round "
+    "f39_followup_round f40_repair_round g3_chat_route g5_choose_docs g7_doc_hints g8_reroute h3_reference_missing h6_complete_slots k5_task_cases "
+    "k7_to_messages".split()
+)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SF_DIR).toPandas()
-    sql = entry.oracle_sql().get(name)
+    got = registry.queries()[name](spark, SF_DIR).toPandas()
+    sql = registry.oracle_sql().get(name)
     if sql is None:
+        assert name in ROWS_ONLY, "a new query needs SQL"
         assert len(got) > 0
         return
     assert differences(got, duck.sql(sql).df()) == []
