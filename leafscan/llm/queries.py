@@ -11,6 +11,7 @@ from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
 from leafscan.llm.jaccard_join import jaccard_join
 from leafscan.llm.language_id import language_id
+from leafscan.llm.licenses import license_scan
 from leafscan.llm.mixing import mix
 from leafscan.llm.pii import replace_pii
 from leafscan.llm.quality import quality_scores
@@ -144,3 +145,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), max_repeats=4.0)
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))

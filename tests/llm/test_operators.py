@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafscan.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets, shingles, token_store
+from leafscan.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, secrets, shingles, token_store
 from leafscan.llm.components import components
 from leafscan.session import new_folder
 
@@ -576,3 +576,75 @@ def test_packed_rows_come_back():
             p, t, c = jaccard_join.unpack(jaccard_join.pack(places, tokens, docs, counts))
             assert p.tolist() == places.tolist() and t.tolist() == tokens.tolist()
             assert (c is None) == (counts is None) and (c is None or c.tolist() == counts.tolist())
+
+
+# --- 2 licenses ------------------------------------------------------------------
+
+
+def plain_patience(a, b):
+    """The definition, recursively."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + plain_patience(a[1:], b[1:])
+    if a[-1] == b[-1]:
+        return 1 + plain_patience(a[:-1], b[:-1])
+    both = [w for w in a if a.count(w) == 1 and b.count(w) == 1]
+    best = []  # longest increasing run of places, by dynamic programming
+    runs = []
+    for k, w in enumerate(both):
+        runs.append(max((r for r, v in zip(runs, both[:k], strict=True) if b.index(v) < b.index(w)), key=len, default=[]) + [w])
+        best = max(best, runs[-1], key=len)
+    if not best:
+        return 0
+    total, i, j = len(best), 0, 0
+    for w in best:
+        total += plain_patience(a[i : a.index(w)], b[j : b.index(w)])
+        i, j = a.index(w) + 1, b.index(w) + 1
+    return total + plain_patience(a[i:], b[j:])
+
+
+def test_patience_alignment():
+    rng = random.Random(6)
+    for _ in range(600):
+        a = rng.choices("abcdefghij", k=rng.randint(0, 14))
+        b = tuple(rng.choices("abcdefghij", k=rng.randint(0, 14)))
+        got = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+        pairs = [(i, j) for i, j in enumerate(rng.sample(range(30), 12))]
+        assert len(licenses.increasing(pairs)) == max(len(c) for c in lis_chains(pairs))
+        assert len(got) == len(set(got))
+        if len(set(a)) == len(a) and len(set(b)) == len(b):
+            assert len(got) == plain_patience(a, list(b))
+
+
+def lis_chains(pairs):
+    chains = []
+    for _, b in pairs:
+        chains.append(max((c for c in chains if c[-1] < b), key=len, default=[]) + [b])
+    return chains
+
+
+def test_license_scan(spark, odd, empty):
+    full = licenses.TEMPLATES[1][1]
+    rows = [
+        (1, "Some words. Licensed under the Apache License, Version 2.0. More words", "en", "s"),
+        (2, "RELEASED!! UNDER!! THE!! MIT!! LICENSE!!", "en", "s"),
+        (3, "the " * 500 + full.replace("WARRANTIES", "GUARANTEES") + " the" * 500, "en", "s"),
+        (4, "Licensed under CC BY-NC 4.0. and then Licensed under CC BY-NC 4.0.", "en", "s"),
+        (5, "the license of the work is under version", "en", "s"),
+        (6, "Mit der Version in the apache", "de", "s"),
+        (7, None, None, None),
+        (8, "word " * 300_000 + "This work is licensed under the GNU General Public License, version 3.", "en", "s"),
+        (8, "word " * 300_000 + "This work is licensed under the GNU General Public License, version 3.", "en", "s"),
+    ]
+    got = Counter((r.doc_id, r.n_found, r.licenses, r.best_license) for r in licenses.license_scan(documents(spark, rows)).collect())
+    assert got == Counter([
+        (1, 1, "Apache-2.0", "Apache-2.0"), (2, 1, "MIT", "MIT"), (3, 1, "Apache-2.0", "Apache-2.0"), (4, 2, "CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+        (5, 0, "", None), (6, 0, "", None), (7, 0, "", None), (8, 1, "GPL-3.0", "GPL-3.0"), (8, 1, "GPL-3.0", "GPL-3.0"),
+    ])
+    one = licenses.license_scan(documents(spark, rows)).filter("doc_id = 1").first()
+    assert (one.n_words, one.spans, one.coverage) == (11, "Apache-2.0:2:9", 1.0)
+    assert licenses.license_scan(odd).filter("n_found > 0").count() == 0 and licenses.license_scan(odd).count() == len(odd_rows())
+    assert licenses.license_scan(empty).count() == 0

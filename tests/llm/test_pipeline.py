@@ -14,7 +14,7 @@ import corpus_pipeline
 from check import connect, differences
 
 SF_DIR = os.environ.get("LEAFSCAN_TEST_DIR", "/root/testdata/sf0.001")
-NAMES = ["op1_token_output", "op3_language_id", "op4_exact_dedup", "op5_secret_scan", "op6_pii_surrogates", "op7_quality", "op8_decontaminate",
+NAMES = ["op1_token_output", "op2_license_scan", "op3_language_id", "op4_exact_dedup", "op5_secret_scan", "op6_pii_surrogates", "op7_quality", "op8_decontaminate",
          "op9_mixing", "op10_jaccard_join"]
 
 
