@@ -214,7 +214,7 @@ def unescape(col: Column) -> Column:
 
     The names come from Python's public table; old names also count without
     their semicolon, the longest first. Numbers of no character give U+FFFD,
-    and 128 to 159 are read as Windows-1252, as browsers do.
+    controls and noncharacters nothing, and 128 to 159 are read as Windows-1252.
     """
     table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
     old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
@@ -223,7 +223,9 @@ def unescape(col: Column) -> Column:
         wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         cp1252 = F.decode(F.unhex(F.lpad(F.hex(code), 2, "0")), "windows-1252")
         wrong = code.isNull() | (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        return F.when(wrong, "\ufffd").when(code.between(128, 159), cp1252).otherwise(wide)
+        control = code.between(1, 8) | code.between(14, 31) | code.isin(11, 127) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+        old_page = code.between(128, 159) & ~code.isin(129, 141, 143, 144, 157)
+        return F.when(wrong, "\ufffd").when(control, "").when(old_page, cp1252).otherwise(wide)
 
     def piece(p: Column, i: Column) -> Column:
         dec, hexa = F.regexp_extract(p, "^#[0-9]+;?", 0), F.regexp_extract(p, "^#[xX][0-9a-fA-F]+;?", 0)

@@ -252,3 +252,37 @@ def test_computed_ratio(spark):
     ev = spark.createDataFrame([("q", 1, "e", "d", text)], "qid string, ord int, evidence_id string, doc_id string, text string")
     row = EV.computed_ratio(queries, ev).first()
     assert math.isclose(row["ratio"], 200e6 / 1000.5e8 * 100) and "= 0.20%" in row["text"]
+
+
+def test_followup_keeps_slots_apart(spark):
+    pages = spark.createDataFrame(
+        [("d1", "x", "d1_lp_0001", 1, ["h"], "违约金比例为 3% 按日计收"), ("d1", "x", "d1_lp_0002", 2, ["h"], "账期为 30 天 到期付款")],
+        "doc_id string, domain string, page_id string, page_no int, heading_path array<string>, text string",
+    ).withColumn("index_text", F.col("text")).withColumn("title", F.lit("t"))
+    missing = spark.createDataFrame(
+        [("q", "x", "违约金", "违约金比例", ["违约金"]), ("q", "x", "账期", "账期 天", ["账期"])],
+        "qid string, domain string, slot string, query string, key_terms array<string>",
+    )
+    docs = spark.createDataFrame([("q", "d1")], "qid string, doc_id string")
+    rows = EV.followup_round(missing, docs, pages).collect()
+    best = {r["slot"]: r["evidence_id"] for r in rows if r["rank"] == 1}
+    assert best == {"违约金": "d1_lp_0001", "账期": "d1_lp_0002"}
+    assert len({(r["slot"], r["evidence_id"]) for r in rows}) == len(rows)
+
+
+def test_summary_reads_turns_after_gaps(spark):
+    turns = spark.createDataFrame(
+        [("s", 1000 * i + 4, "q%d" % i, "x", ["d"], "a") for i in range(40)],
+        "session_id string, turn_index int, user_query string, domain string, doc_ids array<string>, assistant_answer string",
+    )
+    text = M.summaries(turns).first()["global_summary"]
+    assert "q0;" in text and "q30;" in text and len(text) <= M.MAX_SUMMARY_CHARS
+
+
+def test_headings_have_no_cap(spark):
+    pages = spark.createDataFrame(
+        [("d", f"p{i}", i, [f"h{i:03d}"] if i else []) for i in range(200)], "doc_id string, page_id string, page_no int, heading_path array<string>"
+    )
+    assert I.pages_by_heading(pages).count() == 199
+    listed = I.listed_headings(pages, 80).orderBy("key_no").collect()
+    assert len(listed) == 80 and listed[0]["heading"] == "h001"

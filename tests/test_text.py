@@ -128,15 +128,30 @@ def test_inner_split_offsets(spark):
     assert all(0 <= s["start"] <= s["end"] <= len(text) for s in spans)
 
 
-@pytest.mark.parametrize("limit", [5000, 0])
-def test_contains_join_paths_agree(spark, limit):
+def test_contains_join(spark):
     texts = spark.createDataFrame([("a", "x", "banana bandana"), ("b", "x", "aaaa"), ("c", "y", "ana")], "k string, g string, t string")
     terms = spark.createDataFrame([("x", "ana"), ("x", "aa"), ("x", "zz"), ("y", "an"), ("x", "")], "g string, term string")
-    got = {(r["k"], r["term"]): r["hits"] for r in contains_join(texts, terms, ["k"], "t", ["g"], limit).collect()}
+    got = {(r["k"], r["term"]): r["hits"] for r in contains_join(texts, terms, ["k"], "t", ["g"]).collect()}
     assert got == {("a", "ana"): 2, ("b", "aa"): 2, ("c", "an"): 1}
+    free = {(r["k"], r["term"]): r["hits"] for r in contains_join(texts, terms.drop("g"), ["k"], "t", []).collect()}
+    assert free == {("a", "ana"): 2, ("b", "aa"): 2, ("a", "an"): 4, ("c", "an"): 1, ("c", "ana"): 1}
+    assert contains_join(texts, terms.limit(0), ["k"], "t", ["g"]).count() == 0
 
 
 def test_idf_of_a_single_page(spark):
     from leafscan.operators.index import idf
 
     assert math.isclose(spark.range(1).select(idf(F.lit(1), F.lit(1)).alias("v")).first()["v"], math.log(1 + 0.5 / 1.5))
+
+
+def test_unescape_reads_all_references(spark):
+    import html
+
+    for text in ("caf&eacute; &#8212; A&#x41; &ge; &euro;5", "&amp;lt; &copy 2020 &notit; &unknown; & && &#0; &#128; &#xD800; &#1F600;", "&AElig &AEligx; &hearts;&"):
+        assert value(spark, X.unescape, text) == html.unescape(text)
+
+
+def test_invalid_bytes_go_and_replacement_characters_stay(spark):
+    raw = [b"a\xef\xbf\xbdb", b"a\xffb\xe4\xb8", "é漢".encode()]
+    got = spark.createDataFrame([(x,) for x in raw], "c binary").select(X.without_invalid(F.col("c").cast("string")).alias("t")).collect()
+    assert [r["t"] for r in got] == [x.decode(errors="ignore") for x in raw]
