@@ -46,6 +46,17 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_HELD: dict[object, object] = {}
+
+
+def held_by_worker(key: object, make: Callable[[], object]):
+    """What a Python worker keeps from task to task; it keeps one thing at a time, so memory does not add up over operators."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once.
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import keep, packed, small_batches, unpacked
+from leafscan.llm.common import held_by_worker, keep, packed, small_batches, unpacked
 from leafscan.llm.components import components
 from leafscan.llm.shingles import sets_of
 from leafscan.session import small
@@ -141,6 +141,7 @@ def shingled(texts: DataFrame, buckets: int, prefix: Callable[[int], int] | None
         return packed_batches(rows(batches))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held_by_worker("jaccard", dict)
         chunk = TaskContext.get().partitionId() << 24
         texts: list[tuple] = []
         sets: list[np.ndarray] = []

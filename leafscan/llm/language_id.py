@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import held_out, keep, packed, small_batches, unpacked
+from leafscan.llm.common import held_by_worker, held_out, keep, packed, small_batches, unpacked
 from leafscan.session import small
 
 UNKNOWN = "und"
@@ -23,7 +24,7 @@ MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
 MAX_GRAM = 5
 WORD = r"\p{L}+"
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 PIECE = 1 << 20  # characters of a text whose words are held at once
 
 
@@ -162,15 +163,9 @@ class Scorer:
         return self.model.langs[best], 1.0 / sum(math.exp(max(x - total[best], -700.0)) for x in total)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def scorer(shared: Broadcast, key: int) -> Scorer:
+def scorer(shared: Broadcast, key: str) -> Scorer:
     """The worker's scorer of a model, built once."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    return _SCORERS[key]
+    return held_by_worker(("language", key), lambda: Scorer(shared.value))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -178,14 +173,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    key = id(shared)
-    rows = packed(docs, content=F.col(f"`{text}`"))
+    key = uuid.uuid4().hex
+    rows, at = packed(docs), docs.columns.index(text)
     kind = rows.schema["row"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(shared, key)
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(1).to_pylist()]
+            found = [own.predict(t) for t in batch.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["row", "lang_pred", "score"],

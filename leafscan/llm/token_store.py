@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import keep, small_batches
+from leafscan.llm.common import held_by_worker, keep, small_batches
 from leafscan.session import new_folder
 
 # Fixed values of the file format.
@@ -38,7 +38,7 @@ SEEK_END_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 END_ID = 0
-MEMO_ENTRIES = 600_000  # words, and pieces of words, whose ids a worker remembers
+MEMO_ENTRIES = 300_000  # words, and pieces of words, whose ids a worker remembers
 MEMO_CHARS = 48  # longer units are encoded each time
 READ_BYTES = 4 << 20
 
@@ -125,14 +125,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held_by_worker(("encoder", path), lambda: Encoder(path))
 
 
 def filesystem(uri: str):
