@@ -18,17 +18,13 @@ def clean(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def rough_words(c: Column) -> Column:
-    """Words in full lower case, for fingerprints. The first and last may be empty.
+def exact_words(c: Column) -> Column:
+    """Words as compared and as hashed: only A-Z lower-cased. The first and last may be empty.
 
-    Words that agree after lower-casing A-Z agree here too, and breaks are the
-    same; so fingerprints never miss a match, and the exact texts are compared later.
+    No letter depends on its neighbours, as a capital sigma would in full lower
+    case; so a word is the same in a text and in a window joined by blanks, and
+    fingerprints never miss a match.
     """
-    return F.split(F.lower(clean(c)), BREAK, -1)
-
-
-def exact_words(c: Column) -> Column:
-    """Words as compared: only A-Z lower-cased. The first and last may be empty."""
     return F.split(ascii_lower(clean(c)), BREAK, -1)
 
 
@@ -98,7 +94,7 @@ def windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def fingerprints(windowed: DataFrame, span: int, k: int, w: int) -> DataFrame:
     """Distinct fingerprints ``mark`` of the windows of ``span`` words."""
-    words = rough_words(F.col("window"))
+    words = exact_words(F.col("window"))
     return windowed.filter(F.col("span") == span).select(F.explode(winnowed(grams(words, k), w)).alias("mark")).distinct()
 
 
@@ -120,7 +116,7 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     for span, k, w in plans:
         own = fingerprints(bench, span, k, w).select(F.lit(span).alias("span"), "mark")
         marks = own if marks is None else marks.unionByName(own)
-    words = keyed.select("key", rough_words(F.col("body")).alias("words"))
+    words = keyed.select("key", exact_words(F.col("body")).alias("words"))
     no_mark = F.array(F.struct(F.lit(0).alias("span"), F.xxhash64("key").alias("mark")))  # carries n_words on
     listed = [marked(winnowed(grams(F.col("words"), k), w), span) for span, k, w in plans]
     rows = words.select("key", word_count(F.col("words")).alias("n_words"), F.explode(F.concat(no_mark, *listed)).alias("m")).select(
@@ -141,10 +137,10 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 
     matched = texts.filter(F.size("marks") > 0).select("key", "marks")
     bodies = keyed.join(small(matched.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    read = bodies.join(matched, "key").select("key", "marks", rough_words(F.col("body")).alias("rough"), exact_words(F.col("body")).alias("words"))
+    read = bodies.join(matched, "key").select("key", "marks", exact_words(F.col("body")).alias("words"))
     tried = None
     for span, k, w in plans:
-        at = read.select("key", "words", marks_of(F.col("marks"), span).alias("own"), grams(F.col("rough"), k).alias("hashes"))
+        at = read.select("key", "words", marks_of(F.col("marks"), span).alias("own"), grams(F.col("words"), k).alias("hashes"))
         around = F.array_distinct(windows_near(F.col("own"), F.col("hashes"), F.size("words") - span, w))
         starts = at.filter(F.size("own") > 0).select("key", "words", F.explode(around).alias("at"))
         part = starts.select("key", "at", F.lit(span).alias("span"), F.array_join(F.slice("words", F.col("at") + 1, span), " ").alias("window"))

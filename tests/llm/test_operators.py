@@ -435,6 +435,19 @@ def test_decontaminate(spark, odd, empty):
     assert clean.columns == documents(spark, []).columns
 
 
+def test_decontaminate_finds_greek_passages(spark):
+    """A capital sigma's lower case depends on its neighbours, so no hash may read more than a word."""
+    passage = "Ο Α.Σ. ΕΙΔΕ ΤΗΣ.ΟΔΟΥ ΤΟ ΦΩΣ ΚΑΙ Τ'Σ ΝΑΟΣ:ΕΝΑΣ ΠΟΛΙΣ ΕΚΕΙ ΠΑΛΙ ΣΗΜΕΡΑ"
+    other = re.sub("[.':]", " ", passage)  # the same words
+    items = [(1, passage), (2, "Α.Σ. ΤΗΣ.ΟΔΟΥ")]
+    rows = [(1, passage, "el", "s"), (2, other, "el", "s"), (3, "before " + passage + " after", "el", "s"), (4, passage.lower(), "el", "s"), (5, "x Α Σ ΤΗΣ:ΟΔΟΥ", "el", "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: tuple(r) for r in decontaminate.decontaminate(documents(spark, rows), bench).collect()}
+    assert got == {i: (i, *hit_row(t, items)) for i, t, *_ in rows}
+    assert [got[i][5] for i in range(1, 6)] == [True, True, True, False, True]
+    assert [r.doc_id for r in decontaminate.uncontaminated(documents(spark, rows), bench).collect()] == [4]
+
+
 # --- 9 mixing --------------------------------------------------------------------
 
 
