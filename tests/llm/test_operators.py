@@ -389,6 +389,35 @@ def test_quality_features_read_whole_texts():
     assert x[3]["repeated shingles"] == pytest.approx(1 - 1 / (100_000 - 4)) and x[0] == x[1]
 
 
+def test_quality_threshold_covers_all_labels(spark, monkeypatch):
+    """Only the weights come from the sample: label share and quantile are those of all usable labels."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        good = rng.random() < 0.6
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(rng.randint(15, 60))]
+        rows.append((i, " ".join(words) if good else " ".join(w.upper() + "!" for w in words[:9] * 2), "en", "s"))
+        labels.append((i, int(good), 0))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    usable = [k for k in range(300) if zlib.crc32(str(k).encode()) % 4 != 2]
+    share = sum(labels[k][1] for k in usable) / len(usable)
+    monkeypatch.setattr(quality, "LEAST", 5, raising=False)
+    monkeypatch.setattr(quality, "NEAR", 8, raising=False)
+    model = quality.fit(documents(spark, rows), table, sample=60)
+    x = [quality.features(d, w) for d, w in shingles.words_of(pa.array([rows[k][1] for k in usable]))]
+    assert model.base == pytest.approx(share)
+    assert model.threshold == pytest.approx(np.percentile(np.array(x) @ model.weights, 100 * (1 - share)))
+
+
+def test_quality_quantile(spark, monkeypatch):
+    monkeypatch.setattr(quality, "NEAR", 3)
+    rng = random.Random(9)
+    for values in ([2.5], [1.0] * 50, [rng.gauss(0, 1) for _ in range(200)] + [0.25] * 30 + [1e6, -1e6]):
+        table = spark.createDataFrame([(v,) for v in values], "u double")
+        for share in (0.0, 0.3, 0.5, 0.77, 1.0):
+            assert quality.quantile(table, share) == pytest.approx(np.percentile(values, 100 * share))
+
+
 # --- 8 decontamination -----------------------------------------------------------
 
 BREAKS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
