@@ -15,35 +15,36 @@ from pyspark.sql import functions as F
 from leafscan.llm.common import small_batches
 
 COVERAGE = 0.8  # share of a template's words that must align
+SHORT = 12  # words up to which all of a template must align
 SLACK = 8  # words by which a region may exceed twice the template
 PIECE = 1 << 20  # characters whose words are held at once
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
-# Notices as they are usually printed, by SPDX identifier.
+# Notices as they are usually printed, by SPDX identifier; then the decisive phrases (name, version) in them.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "Apache License, Version 2.0"),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
 software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
-See the License for the specific language governing permissions and limitations under the License."""),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
+See the License for the specific language governing permissions and limitations under the License.""", "Apache License, Version 2.0"),
+    ("MIT", "Released under the MIT License.", "MIT License"),
+    ("MIT", "Licensed under the MIT License.", "MIT License"),
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
 distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
 following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License, version 3"),
     ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published
-by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""", "GNU General Public License", "version 3 of the License"),
     ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
 are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
 and/or other materials provided with the distribution."""),
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
 above copyright notice and this permission notice appear in all copies."""),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "CC BY-NC 4.0"),
 )
 
 
@@ -55,10 +56,13 @@ def words_of(text: str) -> list[str]:
 class Template:
     license: str
     words: tuple[str, ...]
+    decisive: tuple[range, ...] = ()  # places of words that must align without foreign words between them
 
     @property
     def least(self) -> int:
-        """Words that must align."""
+        """Words that must align; of a short template, all."""
+        if len(self.words) <= SHORT:
+            return len(self.words)
         return -(-len(self.words) * int(COVERAGE * 100) // 100)
 
     @property
@@ -66,8 +70,33 @@ class Template:
         return 2 * len(self.words) + SLACK
 
 
-def templates(rows: tuple[tuple[str, str], ...] = TEMPLATES) -> list[Template]:
-    return [Template(name, tuple(words_of(text))) for name, text in rows]
+def places_of(phrase: list[str], words: list[str]) -> range:
+    """Where a phrase first occurs."""
+    n = len(phrase)
+    return next(range(k, k + n) for k in range(len(words) - n + 1) if words[k : k + n] == phrase)
+
+
+def templates(rows: tuple[tuple[str, ...], ...] = TEMPLATES) -> list[Template]:
+    out = []
+    for name, text, *phrases in rows:
+        words = words_of(text)
+        out.append(Template(name, tuple(words), tuple(places_of(words_of(p), words) for p in phrases)))
+    return out
+
+
+def spellings(known: list[Template]) -> dict[str, str]:
+    """The templates' words by the ways to write them: a version may be given as 3 or 3.0."""
+    out = {w: w for t in known for w in t.words}
+    for w in list(out):
+        if re.fullmatch(r"[0-9]+(\.0)?", w):
+            out.setdefault(w.removesuffix(".0") if w.endswith(".0") else f"{w}.0", w)
+    return out
+
+
+def decided(template: Template, aligned: list[tuple[int, int]], places: list[int]) -> bool:
+    """Whether all decisive words align, those of a phrase with neighbouring words of the text."""
+    at = {j: places[i] for i, j in aligned}
+    return all(all(j in at and at[j] - at[phrase[0]] == j - phrase[0] for j in phrase) for phrase in template.decisive)
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -134,7 +163,8 @@ def find(template: Template, places: list[int], words: list[str]) -> list[Found]
 
     ``places`` and ``words`` hold the text's words that the template has. A
     region is aligned only if its words, counted as often as the template has
-    them, could reach the coverage.
+    them, could reach the coverage, and counts only if the decisive words
+    stand in it without foreign words between them.
     """
     wanted = Counter(template.words)
     have: Counter[str] = Counter()
@@ -148,7 +178,7 @@ def find(template: Template, places: list[int], words: list[str]) -> list[Found]
         after = start + 1
         if common >= template.least:
             aligned = patience(words[start:end], template.words)
-            if len(aligned) >= template.least:
+            if len(aligned) >= template.least and decided(template, aligned, places[start:end]):
                 first, last = start + aligned[0][0], start + aligned[-1][0]
                 out.append(Found(template.license, places[first], places[last] + 1, len(aligned) / len(template.words)))
                 after = last + 1
@@ -173,7 +203,7 @@ def pieces(text: str) -> Iterator[str]:
 
 def scan_text(text: str, known: list[Template]) -> tuple[int, list[Found]]:
     """Number of words, and what is found, by place; of overlapping finds the longest in aligned words stays."""
-    vocabulary = {w for t in known for w in t.words}
+    vocabulary = spellings(known)
     places: list[int] = []
     words: list[str] = []
     n = 0
@@ -182,7 +212,7 @@ def scan_text(text: str, known: list[Template]) -> tuple[int, list[Found]]:
         for at, word in enumerate(own, n):
             if word in vocabulary:
                 places.append(at)
-                words.append(word)
+                words.append(vocabulary[word])
         n += len(own)
     counts = Counter(words)
     found: list[tuple[float, Found]] = []
@@ -201,7 +231,7 @@ def scan_text(text: str, known: list[Template]) -> tuple[int, list[Found]]:
     return n, sorted(kept, key=lambda f: f.start)
 
 
-def license_scan(docs: DataFrame, rows: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", order: str = "doc_id") -> DataFrame:
+def license_scan(docs: DataFrame, rows: tuple[tuple[str, ...], ...] = TEMPLATES, text: str = "text", order: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, n_words, n_found, licenses, best_license, coverage, spans``.
 
     ``licenses`` are the distinct identifiers found, sorted and joined by

@@ -690,3 +690,31 @@ def test_license_scan(spark, odd, empty):
     assert (one.n_words, one.spans, one.coverage) == (11, "Apache-2.0:2:9", 1.0)
     assert licenses.license_scan(odd).filter("n_found > 0").count() == 0 and licenses.license_scan(odd).count() == len(odd_rows())
     assert licenses.license_scan(empty).count() == 0
+
+
+def test_near_miss_licenses():
+    """Other licences in almost the words of a notice; what names the licence has to be there as a whole."""
+    known = licenses.templates()
+    gpl = licenses.TEMPLATES[6][1]
+    apache = licenses.TEMPLATES[1][1]
+
+    def names(text):
+        return [f.license for f in licenses.scan_text(text, known)[1]]
+
+    for text in [
+        "licensed under the BSD license", "released under the GPL license", "Licensed under the MIT No Attribution License.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under CC BY 3.0.", "Licensed under CC BY-SA 3.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-ND 4.0.",
+        "Licensed under the Apache License, Version 1.1.", "Licensed under the Academic License, Version 2.0.",
+        gpl.replace("version 3", "version 2"), gpl.replace("GNU General", "GNU Lesser General"), gpl.replace("GNU General", "GNU Affero General"),
+        apache.replace("Version 2.0", "Version 1.1"), apache.replace("Apache License, Version 2.0", "Educational Community License, Version 2.0"),
+    ]:
+        assert names(text) == [], text
+        assert names(f"{text} {'x ' * 60} Licensed under the MIT License.") == ["MIT"], text
+    for k, (name, text, *_) in enumerate(licenses.TEMPLATES):
+        assert names(text) == [name] and names("a b " + text.upper() + " c d") == [name], k
+    assert names("This work is licensed under the GNU General Public License, version 3.0.") == ["GPL-3.0"]
+    assert names("Licensed under the Apache License, Version 2") == ["Apache-2.0"]
+    assert names(gpl.replace("redistribute", "copy").replace("modify", "change")) == ["GPL-3.0"]
+    assert names("licensed under the BSD license, or licensed under the MIT license") == ["MIT"]
