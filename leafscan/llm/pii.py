@@ -18,12 +18,30 @@ TITLES = {
 }
 _TITLE = "|".join(sorted((t for titles in TITLES.values() for t in titles), key=lambda t: (-len(t), t)))
 _NAME_WORD = r"\p{Lu}[\p{L}'’-]*+"
+_CARD = r"\d{4}(?:[ -]?\d{4}){3}"  # the form of a card by itself; other lengths are cards only if valid by Luhn
+
+
+def _national(sep: str) -> str:
+    """At least three groups, 9 to 11 digits in all, between equal separators; not a part of a longer row of digits."""
+    around = r"[ .-]" if sep == " " else sep
+    return (
+        rf"(?<![\p{{L}}\p{{N}}+])(?<!\d{around})(?=(?:\d{sep}?){{9,11}}(?!{sep}?\d))(?:1{sep})?\d{{2,5}}(?:{sep}\d{{2,4}}){{2,4}}"
+        rf"(?![\p{{L}}\d]|{around}\d|:\d)"
+    )
+
+
+# National phone numbers: groups; area code, blank and groups with hyphens; 0, area code and one long group.
+_NATIONAL = [_national(r"-"), _national(r"\."), _national(" ")] + [
+    r"(?<![\p{L}\p{N}+])(?<!\d[ .-])(?=(?:\d[ -]?){9,11}(?![ -]?\d))(?:1[ -])?\d{2,5} \d{2,4}(?:-\d{2,4}){1,2}(?![\p{L}\d]|[ .-]\d|:\d)",
+    r"(?<![\p{L}\p{N}+])(?<!\d[ ./-])(?=(?:\d[ /-]?){9,11}(?![ /-]?\d))0\d{1,4}[ /-]\d{5,8}(?![\p{L}\d]|[ ./-]\d|:\d)",
+]
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\p{L}\d])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\d])",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "card": r"(?<![\p{L}\d])(?:(?<!\d[.,])\d{13,19}(?![.,]\d)|\d{4}([ -])\d{6}\1\d{4,5}(?![ -]?\d)|\d{4}([ -])\d{4}\2\d{4}\2(?:\d|\d{4}\2\d{1,3})(?![ -]?\d)"
+    rf"|{_CARD})(?![\p{{L}}\d])",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|" + "|".join(_NATIONAL),
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -75,7 +93,10 @@ def gender_of(title: Column) -> Column:
 
 
 def parts_of(value: Column, kind: Column) -> Column:
-    """A mention as parts: literal text (kind null), or an entity with its class and its canonical form."""
+    """A mention as parts: literal text (kind null), or an entity with its class and its canonical form.
+
+    Digits in the form of a card of other than sixteen digits in fours are one only if valid by Luhn.
+    """
 
     def part(shown: Column, kind: Column, cls: Column, canon: Column) -> Column:
         return F.struct(shown.alias("shown"), kind.alias("kind"), cls.alias("cls"), canon.alias("canon"))
@@ -92,7 +113,12 @@ def parts_of(value: Column, kind: Column) -> Column:
     country = F.regexp_extract(value, r"^\+(\d{1,3})[ .(-]", 1)
     numeric = F.array(part(value, kind, F.when(kind == "phone", country).otherwise(""), digits(value)))
     plain = F.array(part(value, kind, F.lit(""), F.lower(value)))
-    return F.when(kind == "name", name).when(kind.isin("email", "ip"), plain).otherwise(numeric)
+    head = F.regexp_extract(value, rf"^{_CARD}(?!\d)", 0)
+    rest = F.substring(value, F.length(head) + 1, F.length(value))
+    begun = F.array(part(head, kind, F.lit(""), digits(head)), part(rest, null, null, null))
+    valid = luhn_sum(digits(value)) % 10 == 0
+    card = F.when((rest == "") | valid, numeric).when(head != "", begun).otherwise(F.array(part(value, null, null, null)))
+    return F.when(kind == "name", name).when(kind == "card", card).when(kind.isin("email", "ip"), plain).otherwise(numeric)
 
 
 # --- surrogates ------------------------------------------------------------------
@@ -139,7 +165,7 @@ def new_digits(canon: Column, fixed: Column, stream: Column) -> Column:
 
 
 def new_card(canon: Column, stream: Column) -> Column:
-    """Sixteen digits with the first one kept; valid by Luhn if the original is."""
+    """As many digits with the first one kept; valid by Luhn if the original is."""
     head = F.substring(new_digits(canon, F.lit(1), stream), F.lit(1), F.length(canon) - 1)
     check = F.pmod(10 - F.pmod(luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10))
     free = pick("0123456789", byte(stream, F.lit(40)))
@@ -244,8 +270,10 @@ def rendered(shown: Column, kind: Column, made: Column) -> Column:
 def replace_pii(docs: DataFrame, key: str, text: str = "text", order: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, text`` with surrogates, ``n_email, n_ip, n_ssn, n_card, n_phone, n_given, n_surname``.
 
-    Emails, internet addresses, US social security numbers, card and phone
-    numbers, and names after a title are replaced. The same entity gets the
+    Emails, internet addresses, US social security numbers, cards (16 digits in
+    fours, or 13 to 19 digits valid by Luhn), phone numbers (with a country code
+    or a bracketed area code, or 9 to 11 digits in groups) and names after a
+    title are replaced. The same entity gets the
     same surrogate everywhere, also if written with other separators or case;
     the words of a name are entities of their own, so a surname alone agrees
     with the full name. Surrogates keep number of digits, country code, Luhn

@@ -358,6 +358,52 @@ def test_pii_surrogates_stay_distinct(spark, odd, empty):
     assert pii.replace_pii(empty, "key").count() == 0
 
 
+def luhn_valid(number):
+    doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(number))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
+def test_pii_national_phones(spark):
+    rng = random.Random(61)
+
+    def group(n):
+        return "".join(rng.choices("123456789", k=n))
+
+    phones = ["555-123-4567", "212.555.0100", "020 7946 0958", "06 12 34 56 78", "1-555-123-4567", "0171 5550123", "030/1234567", "555 123-4567", "06.12.34.56.78"]
+    for _ in range(60):  # groups of two to four digits, 9 to 11 in all, between equal signs
+        sizes = [rng.randint(2, 4) for _ in range(rng.randint(3, 5))]
+        if 9 <= sum(sizes) <= 11 and sizes != [3, 2, 4]:
+            phones.append(rng.choice(" .-").join(group(n) for n in sizes))
+    others = ["2024-01-15 10:30", "15.01.2024 10:30", "3.14159265", "12.50 13.75", "555-1234", "1 2 3 4 5 6 7 8 9 0", "978-3-16-148410-0", "1990-1995", "v1234-5678-9012-3456-78", "12 34 56"]
+    rows = [(i, f"tel {p}, or {p}.", "en", "s") for i, p in enumerate(phones)] + [(1000 + i, f"x {t} y", "en", "s") for i, t in enumerate(others)]
+    got = {r.doc_id: r for r in pii.replace_pii(documents(spark, rows), "key").collect()}
+    for i, p in enumerate(phones):
+        form = re.sub(r"\d", r"\\d", re.escape(p))
+        found = re.fullmatch(rf"tel ({form}), or ({form})\.", got[i].text)
+        assert found and found[1] == found[2] != p and got[i].n_phone == 2, (p, got[i].text)
+    for i, t in enumerate(others):
+        assert got[1000 + i].text == f"x {t} y"
+
+
+def test_pii_cards_of_any_length(spark):
+    rng = random.Random(62)
+    numbers = ["".join(rng.choices("0123456789", k=n)) for n in range(11, 22) for _ in range(40)] + ["378282246310005", "4111111111111", "30569309025904"]
+    rows = [(i, f"card {c}.", "en", "s") for i, c in enumerate(numbers)]
+    split = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "3782 822463 10006", "4111 1111 1111 1111 123", "4111 1111 1111 1111 110"]
+    rows += [(1000 + i, f"card {c}.", "en", "s") for i, c in enumerate(split)]
+    got = {r.doc_id: r for r in pii.replace_pii(documents(spark, rows), "key").collect()}
+    for i, c in enumerate(numbers):
+        card = len(c) == 16 or 13 <= len(c) <= 19 and luhn_valid(c)
+        new = re.fullmatch(r"card (\d+)\.", got[i].text)[1]
+        assert got[i].n_card == card == (new != c) and len(new) == len(c) and (luhn_valid(new) or not luhn_valid(c)), c
+    for i, c in enumerate(split):
+        n = re.sub(r"\D", "", c)
+        head = n[:16] if len(n) == 19 and not luhn_valid(n) else n
+        new = re.sub(r"\D", "", got[1000 + i].text)
+        assert got[1000 + i].n_card == (luhn_valid(n) or len(n) == 19), c
+        assert (new[: len(head)] != head) == bool(got[1000 + i].n_card) and new[len(head) :] == n[len(head) :], c
+
+
 # --- 7 quality -------------------------------------------------------------------
 
 
