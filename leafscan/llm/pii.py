@@ -44,6 +44,7 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|" + "|".join(_NATIONAL),
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?",
 }
+COUNTRY = r"[17]|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d"  # country codes: no one begins another
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[@0-9]|{_TITLE}"  # quick test: a text without this has no entity
 KINDS = ["email", "ip", "ssn", "card", "phone", "given", "surname"]
@@ -92,14 +93,22 @@ def gender_of(title: Column) -> Column:
     return F.when(bare.isin(TITLES["m"]), "m").when(bare.isin(TITLES["f"]), "f").otherwise("n")
 
 
+def first_digits(value: Column) -> Column:
+    """Country code of a phone number: up to a separator, or else by the public numbering plan; 0 of a national one."""
+    split = F.regexp_extract(value, r"^\+(\d{1,3})[ .(-]", 1)
+    planned = F.regexp_extract(value, rf"^\+({COUNTRY})", 1)
+    return F.when(split != "", split).when(planned != "", planned).otherwise(F.regexp_extract(value, r"^\(?(0)", 1))
+
+
 def parts_of(value: Column, kind: Column) -> Column:
     """A mention as parts: literal text (kind null), or an entity with its class and its canonical form.
 
+    ``code`` is what the mention tells of the first digits of a phone number; it is no part of the entity.
     Digits in the form of a card of other than sixteen digits in fours are one only if valid by Luhn.
     """
 
-    def part(shown: Column, kind: Column, cls: Column, canon: Column) -> Column:
-        return F.struct(shown.alias("shown"), kind.alias("kind"), cls.alias("cls"), canon.alias("canon"))
+    def part(shown: Column, kind: Column, cls: Column, canon: Column, code: Column = F.lit("")) -> Column:
+        return F.struct(shown.alias("shown"), kind.alias("kind"), cls.alias("cls"), canon.alias("canon"), code.alias("code"))
 
     null = F.lit(None).cast("string")
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
@@ -110,8 +119,7 @@ def parts_of(value: Column, kind: Column) -> Column:
     literal = part(title, null, null, null)
     blank = part(F.lit(" "), null, null, null)
     name = F.when(F.size(rest) == 1, F.array(literal, surname)).otherwise(F.array(literal, given, blank, surname))
-    country = F.regexp_extract(value, r"^\+(\d{1,3})[ .(-]", 1)
-    numeric = F.array(part(value, kind, F.when(kind == "phone", country).otherwise(""), digits(value)))
+    numeric = F.array(part(value, kind, F.lit(""), digits(value), F.when(kind == "phone", first_digits(value)).otherwise("")))
     plain = F.array(part(value, kind, F.lit(""), F.lower(value)))
     head = F.regexp_extract(value, rf"^{_CARD}(?!\d)", 0)
     rest = F.substring(value, F.length(head) + 1, F.length(value))
@@ -209,7 +217,7 @@ def new_email(canon: Column, stream: Column, domain_stream: Column, attempt: int
 
 
 def surrogate(attempt: int, key: str) -> Column:
-    """Canonical surrogate of an entity, a keyed function of its kind, class, canonical form and of the attempt."""
+    """Canonical surrogate of an entity, a keyed function of its kind, class, canonical form and of the attempt; first digits ``code`` stay."""
     kind, cls, canon = F.col("kind"), F.col("cls"), F.col("canon")
 
     def keyed(*parts: Column) -> Column:
@@ -224,7 +232,7 @@ def surrogate(attempt: int, key: str) -> Column:
             F.when(kind == "email", new_email(canon, stream, F.concat(domain, domain), attempt))
             .when(kind == "ip", new_ip(canon, stream))
             .when(kind == "card", new_card(canon, stream))
-            .when(kind.isin("phone", "ssn"), F.concat(new_digits(canon, F.length(cls), stream), longer))
+            .when(kind.isin("phone", "ssn"), F.concat(new_digits(canon, F.length("code"), stream), longer))
             .otherwise(new_name(cls, stream, attempt))
         )
 
@@ -287,7 +295,9 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", order: str = "doc
     kinds = found.select("key", "i", "value", kind_of(F.col("value")).alias("kind"))
     parts = kinds.select("key", "i", F.posexplode(parts_of(F.col("value"), F.col("kind"))).alias("j", "p")).select("key", "i", "j", "p.*")
     parts = keep(parts, "pii-parts")
-    entities = keep(parts.filter("kind is not null").select("kind", "cls", "canon").distinct(), "pii-entities")
+    told = parts.filter("kind is not null").groupBy("kind", "cls", "canon", "code").agg(F.count("*").alias("n"))
+    best = F.max(F.struct((F.col("code") != "").alias("any"), "n", "code"))["code"]  # of all mentions of a number, the most frequent
+    entities = keep(told.groupBy("kind", "cls", "canon").agg(best.alias("code")), "pii-entities")
     mapping = assign(entities, key)
     shown = parts.join(mapping, ["kind", "cls", "canon"], "left").select(
         "key", "i", "j", "kind", F.coalesce(rendered(F.col("shown"), F.col("kind"), F.col("surrogate")), F.col("shown")).alias("new")

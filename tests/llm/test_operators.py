@@ -404,6 +404,17 @@ def test_pii_cards_of_any_length(spark):
         assert (new[: len(head)] != head) == bool(got[1000 + i].n_card) and new[len(head) :] == n[len(head) :], c
 
 
+def test_pii_phone_is_one_entity_in_any_form(spark):
+    rows = [
+        (1, "a +15551234567 b", "en", "s"), (2, "a +1 (555) 123-4567 b", "en", "s"), (3, "a +1 555 123 4567 b", "en", "s"), (4, "a 1-555-123-4567 b", "en", "s"),
+        (5, "a +493012345678 b", "en", "s"), (6, "a +35312345678 b", "en", "s"), (7, "a 020 7946 0958 b", "en", "s"), (8, "a (020) 7946 0958 b", "en", "s"),
+    ]
+    got = {r.doc_id: re.sub(r"\D", "", r.text) for r in pii.replace_pii(documents(spark, rows), "key").collect()}
+    assert len({got[i] for i in (1, 2, 3, 4)}) == 1 and got[1] != "15551234567" and len(got[1]) == 11
+    assert got[1][0] == "1" and got[5][:2] == "49" and got[6][:3] == "353" and got[5] != "493012345678" and got[6] != "35312345678"
+    assert got[7] == got[8] != "02079460958" and got[7][0] == "0"
+
+
 # --- 7 quality -------------------------------------------------------------------
 
 
