@@ -44,6 +44,7 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|" + "|".join(_NATIONAL),
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?",
 }
+DRAWS = 20  # a number grows, and an octet changes its length, only if so many draws found no free one
 COUNTRY = r"[17]|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d"  # country codes: no one begins another
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[@0-9]|{_TITLE}"  # quick test: a text without this has no entity
@@ -180,9 +181,13 @@ def new_card(canon: Column, stream: Column) -> Column:
     return F.concat(head, F.when(luhn_sum(canon) % 10 == 0, check.cast("string")).otherwise(free))
 
 
-def new_ip(canon: Column, stream: Column) -> Column:
+def new_ip(canon: Column, stream: Column, attempt: int) -> Column:
+    """Octets of the same length; of any length once ``DRAWS`` draws found no free address."""
+
     def octet(o: Column, i: Column) -> Column:
         b = byte(stream, i)
+        if attempt > DRAWS:
+            return (b % 254 + 1).cast("string")
         n = F.when(F.length(o) == 1, b % 9 + 1).when(F.length(o) == 2, b % 90 + 10).otherwise(b % 155 + 100)
         return n.cast("string")
 
@@ -225,12 +230,12 @@ def surrogate(attempt: int, key: str) -> Column:
         return F.concat(first, F.sha2(F.concat(F.lit(key), first), 256))
 
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 256)
-    longer = F.lit("0" * max(0, attempt - 20))  # a number grows only if twenty draws found no free one
+    longer = F.lit("0" * max(0, attempt - DRAWS))
 
     def made(stream: Column) -> Column:
         return (
             F.when(kind == "email", new_email(canon, stream, F.concat(domain, domain), attempt))
-            .when(kind == "ip", new_ip(canon, stream))
+            .when(kind == "ip", new_ip(canon, stream, attempt))
             .when(kind == "card", new_card(canon, stream))
             .when(kind.isin("phone", "ssn"), F.concat(new_digits(canon, F.length("code"), stream), longer))
             .otherwise(new_name(cls, stream, attempt))
@@ -286,8 +291,9 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", order: str = "doc
     the words of a name are entities of their own, so a surname alone agrees
     with the full name. Surrogates keep number of digits, country code, Luhn
     validity, octet length, letter classes, script, case and the gender of the
-    title. Null stays null; texts without entities stay as they are; repeated
-    rows each get a row, an empty table none; extra columns are ignored.
+    title; octets have another length if no address is left. Null stays null;
+    texts without entities stay as they are; repeated rows each get a row, an
+    empty table none; extra columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(order).alias("doc_id"), F.col(text).alias("body"), F.sha2(body, 256).alias("key"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -415,6 +416,20 @@ def test_pii_phone_is_one_entity_in_any_form(spark):
     assert got[7] == got[8] != "02079460958" and got[7][0] == "0"
 
 
+def test_pii_addresses_do_not_run_out(spark):
+    """Octets of one digit have 6,561 forms; if all of them are real, draws take other lengths."""
+    one = [str(k) for k in range(1, 10)]
+    real = [(".".join(x),) for x in itertools.product(one, repeat=4)]
+    table = spark.createDataFrame(real, "canon string").selectExpr("'ip' kind", "'' cls", "canon", "'' code")
+    drawn = table.select(F.col("canon"), pii.surrogate(pii.DRAWS + 1, "key").alias("new")).collect()
+    assert len({r.new for r in drawn} - {r.canon for r in drawn}) > 6_000
+    assert all(0 < int(o) < 256 for r in drawn for o in r.new.split("."))
+    early = table.limit(200).select("canon", pii.surrogate(pii.DRAWS, "key").alias("new")).collect()
+    assert all([len(o) for o in r.new.split(".")] == [len(o) for o in r.canon.split(".")] for r in early)
+    done = pii.assign(table, "key").collect()
+    assert len({r.surrogate for r in done}) == len(done) == 6_561 and not {r.surrogate for r in done} & {r.canon for r in done}
+
+
 # --- 7 quality -------------------------------------------------------------------
 
 
