@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from leafscan.llm import byte_bpe, fill_middle, spelling
 from leafscan.llm.decontaminate import decontaminate
 from leafscan.llm.exact_dedup import exact_dedup
 from leafscan.llm.jaccard_join import jaccard_join
@@ -150,3 +151,81 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+
+
+NOISE_EVERY, LEAST_CHARS, LEAST_COUNT = 31, 7, 2
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+WITH RECURSIVE
+crcs AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(0, 8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, b) AS v FROM range(0, 256) r(b))),
+runs AS (
+  SELECT id, run, count(*) AS c FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents)
+  WHERE length(run) >= {LEAST_CHARS} GROUP BY id, run),
+coded AS (SELECT id, run, c, hex(encode(id || ':' || run)) AS bytes FROM runs),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(
+           list_transform(range(1, length(bytes), 2), lambda i: (instr('0123456789ABCDEF', bytes[i]) - 1) * 16 + instr('0123456789ABCDEF', bytes[i + 1]) - 1),
+           lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]), 4294967295)) AS h
+  FROM coded CROSS JOIN crcs),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % {NOISE_EVERY} = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c
+    FROM hashed)
+  WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(c) >= {LEAST_COUNT}),
+gaps AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT g.word AS a, g.n AS a_n, w.word AS b, w.n AS b_n FROM gaps g JOIN words w ON g.rest = w.word),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM gaps x JOIN gaps y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION ALL SELECT a, b, b_n FROM shorter
+  UNION ALL SELECT b, a, a_n FROM shorter),
+ranked AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM pairs),
+forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 10 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 10 * w.n THEN r.near_n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON w.word = r.word),
+chains AS (
+  SELECT word, word AS at, form AS following FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chains c JOIN forms f ON c.following = f.word)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chains c ON f.word = c.word AND c.following IS NULL""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.noisy_counts(table(spark, sf_dir, "documents"), NOISE_EVERY, LEAST_CHARS, LEAST_COUNT)
+    return spelling.variants(words, LEAST_CHARS)
+
+
+@query(
+    "op13_fill_middle",
+    """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+drawn AS (
+  SELECT *, CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2, CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4
+  FROM docs),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN n = 0 OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (SELECT *, substr(body, 1, low) AS prefix, substr(body, low + 1, high - low) AS middle, substr(body, high + 1) AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM parts""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(fill_middle.store(table(spark, sf_dir, "documents"))))
