@@ -60,8 +60,9 @@ def unit_starts(data: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     starts = np.zeros(len(data), bool)
     starts[1:] = CUT[(kind[:-1] << 3) | kind[1:]]
     first = doc_starts[doc_starts < len(data)]
-    # A blank belongs to a printable character after it, if that is of the same text.
-    opens = kind == BLANK
+    # Of several spaces the last one before a printable character of the same text is cut off: a blank goes with
+    # that character, any other space stands alone.
+    opens = (kind == BLANK) | (kind == SPACE)
     opens[:-1] &= kind[1:] <= QUOTE
     opens[-1] = False
     opens[first[first > 0] - 1] = False
