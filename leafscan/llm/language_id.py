@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscan.llm.common import held_by_worker, held_out, keep, packed, small_batches, unpacked
@@ -20,8 +20,8 @@ from leafscan.session import small
 UNKNOWN = "und"
 # Bounds of the fitted model; documented parameters of ``fit``.
 SAMPLE_PER_LANG = 4_000  # labelled rows per language, about
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+MAX_WORDS = 20_000  # per language
+MAX_GRAMS = 20_000  # per language
 MAX_GRAM = 5
 WORD = r"\p{L}+"
 MEMO_ENTRIES = 100_000
@@ -55,8 +55,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
 
     The fit reads whole texts of a bounded sample: per language about
     ``per_lang`` rows, chosen by a hash of id and text; of the words and
-    n-grams counted there the ``max_words`` and ``max_grams`` most frequent
-    stay. Only those and the list of languages reach the driver.
+    n-grams counted there the ``max_words`` and ``max_grams`` most frequent of
+    each language stay, so no language loses its words to a larger one. Only
+    those and the list of languages reach the driver.
     """
     named = docs.select(
         F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(order).alias("id")
@@ -90,9 +91,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
 
 
 def top_terms(counts: DataFrame, term: str, most: int) -> list:
-    """``(term, {lang: n})`` of the most frequent terms, ties by term."""
-    total = counts.groupBy(term).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    return total.orderBy(F.desc("total"), term).limit(most).select(term, "by_lang").collect()
+    """``(term, {lang: n})`` of the terms that are among the ``most`` frequent of any language, ties by term; in order of term."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), term))
+    kept = counts.withColumn("_rank", rank).filter(F.col("_rank") <= most).select(term).distinct()
+    by_lang = counts.join(kept, term, "left_semi").groupBy(term).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    return by_lang.orderBy(term).collect()
 
 
 def logs(rows: list, at: dict[str, int], classes: list) -> tuple[dict[str, int], np.ndarray]:
