@@ -15,9 +15,20 @@ STEPS = 30  # of the bisection
 SLICES = 4096  # equal slices of a permutation; only the slice where the budget ends is ordered row by row
 
 
+# Scripts that are written without blanks between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
 def word_tokens(text: Column) -> Column:
-    """Words separated by white space; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long"), F.lit(0).cast("long"))
+    """Words separated by white space, and each letter of a script without blanks; 0 for null.
+
+    A word that holds such letters counts by its letters, and once more for what else it holds.
+    """
+    whole = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    letters = F.regexp_count(text, F.lit(UNSPACED))
+    rest = F.size(F.filter(F.split(F.regexp_replace(text, UNSPACED, " "), r"\s+"), lambda w: w != ""))
+    n = F.when(F.octet_length(text) == F.length(text), whole).otherwise(letters + rest)
+    return F.coalesce(n.cast("long"), F.lit(0).cast("long"))
 
 
 @dataclass(frozen=True)
