@@ -18,17 +18,18 @@ only the frames it wants.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscan.llm.common import held_by_worker, keep, small_batches
+from leafscan.llm.units import UnitEncoder, in_chunks
 from leafscan.session import new_folder
 
 # Fixed values of the file format.
@@ -38,91 +39,43 @@ SEEK_END_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
 END_ID = 0
-MEMO_ENTRIES = 300_000  # words, and pieces of words, whose ids a worker remembers
-MEMO_CHARS = 48  # longer units are encoded each time
 READ_BYTES = 4 << 20
 
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
-_UNIT_START = re.compile(r"(?= \S)")
-# Fixed values of the byte-level pre-tokenizer: its pattern, and the bytes it leaves as they are.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
-# Characters whose classes no version of Unicode changes; units of others go through the whole tokenizer.
-STEADY = r"[\n\x20-\x7E\u00A1-\u024F]*"
-
-
-class _Apart(Exception):
-    """A blank that starts no unit."""
-
-
-class Memo(dict):
-    """Ids by key; a missing key is made, and kept if it is short."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= MEMO_CHARS:
-            self[key] = value
-        return value
-
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, with bounded memos per unit and piece.
+    """Ids of whole texts by a byte-level BPE tokenizer, as the library encodes them.
 
-    The pre-tokenizer always starts a new piece at a blank that is followed by
-    a non-space, and pieces are encoded independently. So a text may be cut
-    there and its units encoded one by one, with the same ids; a unit that is
-    new is cut into pieces, and a piece that is new goes to the BPE model.
+    Texts are cut into units that are encoded independently; each unit that is
+    new goes through the library once. A text that holds an added token of the
+    tokenizer, such as its end mark, goes through the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        other = iter(range(256, 512))
-        self.byte_chars = {b: b if b in KEPT_BYTES else next(other) for b in range(256)}
-        self.cut, self.steady = regex.compile(PIECES).findall, re.compile(STEADY).fullmatch
-        self.pieces, self.words = Memo(self._piece), Memo(self._word)
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_chars))
-        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
-
-    def _unit(self, unit: str) -> bytes:
-        if self.steady(unit):
-            return b"".join(map(self.pieces.__getitem__, self.cut(unit)))
-        return self._whole(unit)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with the blank before it."""
-        if not word or word[0].isspace():
-            raise _Apart
-        return self._unit(" " + word)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        for memo in (self.pieces, self.words):
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-        out = []
-        for text in texts:
-            head, *words = text.split(" ")
-            try:
-                out.append(self._unit(head) + b"".join(map(self.words.__getitem__, words)))
-            except _Apart:
-                out.append(b"".join(map(self._unit, _UNIT_START.split(text))))
-        return out
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.units = UnitEncoder(self._whole)
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text of a string array without nulls, as little-endian 32-bit integers."""
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        ids, bounds = self.units.encode(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
+        ids = ids.astype("<u4", copy=False)
+        for i in range(len(texts)):
+            if special[i]:
+                yield self._whole([texts[i].as_py().encode()])[0].astype("<u4", copy=False)
+            else:
+                yield ids[bounds[i] : bounds[i + 1]]
 
 
 def encoder(path: str) -> Encoder:
@@ -218,20 +171,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, text: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         tokens = 0
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         file = f"{folder}/part-{shard:06d}-{attempt}.zst"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for chunk in in_chunks(batches, 1):
             if out is None:
                 store, path = filesystem(file)
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 out = FrameWriter(store.open_output_stream(path, compression=None))
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(texts), strict=True):
-                out.add(doc_id, ids + end)
-                tokens += len(ids) // 4 + 1
+            found = encoder(tokenizer_path).encode(chunk.column(1).combine_chunks())
+            for doc_id, ids in zip(chunk.column(0).to_pylist(), found, strict=True):
+                out.add(doc_id, np.concatenate([ids, end]).tobytes())
+                tokens += len(ids) + 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "docs": [len(out.ids)], "tokens": [tokens]})

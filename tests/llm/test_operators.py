@@ -132,17 +132,15 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def test_encoder_equals_whole_text_encoding(plain):
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "\xa0", "\x1c", "　", "a", "B", "é", "'s", "'", "1", "²", "漢", "!", "<|endoftext|>", "\r\n", "​", "don't", "\x85", "x" * 70]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)]
-    for text, ids in zip(texts, token_store.Encoder(TOKENIZER).encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    for text, ids in zip(texts, token_store.Encoder(TOKENIZER).encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def token_rows(rows, plain):
@@ -235,6 +233,24 @@ def test_language_id_equals_brute_force(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in tested) >= 0.95 * len(tested)
 
 
+def test_every_language_keeps_its_words(spark):
+    """Thirty languages, one of them with most of the rows: the bounds hold per language."""
+    rng = random.Random(7)
+    alphabet = "abcdefghijklmnopqrstuvwxyzäöüßéèçñõåøæ"
+    words = {f"l{k:02d}": ["".join(rng.choices(rng.sample(alphabet, 9), k=rng.randint(3, 8))) for _ in range(60)] for k in range(30)}
+    rows = []
+    for lang in sorted(words):
+        for _ in range(600 if lang == "l00" else 12):
+            rows.append((len(rows), " ".join(rng.choices(words[lang], k=40)), lang, "s"))
+    docs = documents(spark, rows)
+    model = language_id.fit(docs, max_words=40, max_grams=100)
+    assert all(sum(w in model.words for w in own) >= 30 for own in words.values())
+    assert len(model.words) <= 30 * 40
+    got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
+    tested = [i for i, _, _, _ in rows if got[i].held_out]
+    assert sum(got[i].lang_pred == rows[i][2] for i in tested) >= 0.97 * len(tested)
+
+
 def test_language_id_odd_tables(odd, empty, spark):
     got = language_id.language_id(odd).collect()
     assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 for r in got)
@@ -364,6 +380,14 @@ def luhn_valid(number):
     return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
 
 
+def test_pii_texts_of_many_labels(spark):
+    """No pattern may recurse in Java's matcher: a stack overflow there ends the executor."""
+    texts = ["mail a@" + "b." * 200_000 + "com", "a." * 200_000 + "b@c.de", "1." * 200_000, "+1" + " 22" * 200_000, "Mr. " + "Ab'" * 200_000, "4111 " * 100_000]
+    rows = pii.replace_pii(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "k").collect()
+    assert len(rows) == len(texts)
+    assert {r.doc_id for r in rows if r.n_email} == {0, 1}
+
+
 def test_pii_national_phones(spark):
     rng = random.Random(61)
 
@@ -600,6 +624,15 @@ def test_mixing(spark, corpus, how):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(3), **how).collect()))
 
 
+def test_tokens_of_unspaced_scripts(spark):
+    texts = ["two words", None, "", " \n", "漢字", "漢字 and ひらがな", "ภาษา", "é à", "x漢y"]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_tokens(F.col("t")).alias("n")).collect()]
+    assert got == [2, 0, 0, 0, 2, 7, 4, 2, 3]
+    zh = [(i, "漢" * 500, "zh", "zh") for i in range(4)] + [(10 + i, "w " * 500, "en", "en") for i in range(4)]
+    drawn = Counter(r.source for r in mixing.mix(documents(spark, zh), max_repeats=4.0).collect())
+    assert drawn == {"zh": 4, "en": 4}  # equal shares: nothing is repeated
+
+
 def test_mixing_odd_tables(spark, odd, empty):
     got = mixing.mix(odd, max_repeats=2.0).collect()
     assert {(r.doc_id, r.source) for r in got} == {(i, s) for i, _, _, s in odd_rows()}
