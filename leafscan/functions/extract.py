@@ -170,7 +170,7 @@ def entities(col: Column | str, n: int = 12) -> Column:
 
     def members(found: Column, lead: str, tail: str | None) -> Column:
         def trimmed(p: Column) -> Column:
-            p = F.regexp_replace(X.strip(p), f"^(?:{lead})+", "")
+            p = F.regexp_replace(X.strip(p), f"^(?:{lead})++", "")
             return F.regexp_replace(p, f"(?:{tail})$", "") if tail else p
 
         parts = F.flatten(F.transform(found, lambda x: F.split(x, "[、/和及与]")))
@@ -189,7 +189,7 @@ def entities(col: Column | str, n: int = 12) -> Column:
         )
     )
     three = F.filter(
-        F.transform(three, lambda p: F.regexp_replace(X.strip(p), "^(?:在|及|与|和|都|各)+", "")), lambda p: F.length(p).between(2, 20)
+        F.transform(three, lambda p: F.regexp_replace(X.strip(p), "^(?:在|及|与|和|都|各)++", "")), lambda p: F.length(p).between(2, 20)
     )
     found = F.concat(
         find_all(t, "[“\"《]([^”\"》]{2,30})[”\"》]", 1), find_all(t, f"[{NAME_CHARS}]{{2,30}}(?:{TYPED})"), *lists, fields, three
@@ -204,6 +204,43 @@ def metrics(col: Column | str, n: int = 12) -> Column:
     return F.slice(F.array_distinct(F.concat(known, find_all(t, YEAR_METRIC))), 1, n)
 
 
+# Endings of entities and of metrics, spans of time, and words that make a piece no term.
+ENTITY_ENDINGS = "板块|项目|产品|业务|公司|发行人"
+METRIC_ENDINGS = "率|额|值|数|量|收入|成本|利润|余额|净额|占比|比例|金额|规模|价格|费用|收益"
+YEAR_SPAN = rf"(?:19|20)\p{{Nd}}{{2}}[{X.WS}]*[-至][{X.WS}]*(?:19|20)?\p{{Nd}}{{2}}[{X.WS}]*年?"
+HALF_YEAR = rf"(?:19|20)\p{{Nd}}{{2}}[{X.WS}]*年(?:[{X.WS}]*1[{X.WS}]*[-至][{X.WS}]*6[{X.WS}]*月)?"
+MONTH_SPAN = rf"\p{{Nd}}+[{X.WS}]*[-至][{X.WS}]*\p{{Nd}}+[{X.WS}]*月"
+PERIOD = rf"20\p{{Nd}}{{2}}|19\p{{Nd}}{{2}}|第[{X.WS}]*\p{{Nd}}+[{X.WS}]*个?[{X.WS}]*[年月日]|\p{{Nd}}+[{X.WS}]*[-至][{X.WS}]*\p{{Nd}}+[{X.WS}]*月"
+TERM_LEAD = "^(?:查找|查询|获取|确定)"
+NO_TERM = "多少|什么|哪些|根据|募集说明书|第[一二三四五六七八九十]+期"
+
+
+def typed_terms(parts: Column, n: int = 12) -> Column:
+    """Distinct terms of texts: entities and metrics cut at their endings, then plain pieces; years and periods removed.
+
+    ``parts`` is an array of texts; terms have 2 to 24 signs, in order of first appearance.
+    """
+
+    def of(raw: Column) -> Column:
+        spaced = F.regexp_replace(raw, rf"[，。；;：:（）()《》“”\"'?？{X.WS}]+", " ")
+        pieces = F.split(spaced, rf"[的{X.WS}]+")
+        metrics = F.flatten(F.transform(pieces, lambda p: find_all(p, f"[{X.CJK}A-Za-z0-9]{{2,16}}(?:{METRIC_ENDINGS})")))
+        entities = find_all(spaced, rf"[^{X.WS}的]{{1,18}}(?:{ENTITY_ENDINGS})")
+        plain = F.split(raw, rf"[{X.WS},，、；;：:（）()《》“”\"'?？]+")
+        return F.concat(entities, metrics, plain)
+
+    def bare(term: Column) -> Column:
+        term = F.regexp_replace(X.strip(term), TERM_LEAD, "")
+        for span in (YEAR_SPAN, HALF_YEAR, r"(?:19|20)\p{Nd}{2}", MONTH_SPAN):
+            term = F.regexp_replace(term, span, "")
+        return X.strip(term)
+
+    texts = F.transform(parts, lambda p: X.repair(F.coalesce(p, F.lit(""))))
+    terms = F.transform(F.flatten(F.transform(texts, of)), bare)
+    kept = F.filter(terms, lambda t: F.length(t).between(2, 24) & ~t.rlike(f"^(?:{PERIOD})$") & ~t.rlike(NO_TERM))
+    return F.slice(F.array_distinct(kept), 1, n)
+
+
 def constraints(col: Column | str) -> Column:
     """What an answer has to respect."""
     t = X.squeeze(F.col(col) if isinstance(col, str) else col)

@@ -85,6 +85,20 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def power_of_two(k: Column) -> Column:
+    return F.pow(F.lit(2), k).cast("int")
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sum up to each element of an array of longs, itself included: prefix sums by doubling, n log n steps."""
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(numbers))).cast("int"), F.lit(1)))
+
+    def add(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, i: x + F.when(i >= power_of_two(k), F.get(acc, i - power_of_two(k))).otherwise(0))
+
+    return F.aggregate(steps, numbers, add)
+
+
 def repair(
     col: Column | str,
     variant: str = "core",

@@ -548,6 +548,56 @@ def merge_relation_tasks(tasks: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+# Wording that asks for a table, and how the merged task reads.
+TABLE_WORDS = ("分别", "各", "明细", "构成", "分类", "占比", "比例", "率", "金额", "收入", "成本", "利润", "余额", "净额", "数量", "规模", "表")
+PERIOD_TASK, PERIOD_SLOT = "按题干顺序查找同一对象同一指标在多个年份/期间的整表数据", "题干要求的多年份/多期间指标整表数据"
+TABLE_EXTRAS = ("明细", "构成", "分类", "表", "报告期")
+
+
+def merge_period_tasks(tasks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The tasks of a free question become one table search if they ask for figures of several periods in the same documents.
+
+    ``tasks(qid, pos, task, task_type, target_doc_ids, known_facts
+    ARRAY<STRUCT<slot,value>>, search_slots ARRAY<STRUCT<slot,query>>)``,
+    ``questions(qid, question, answer_format)``. All tasks must retrieve, name
+    the same documents, and two of them a period. Facts are kept once, terms of
+    all tasks make the query.
+    """
+    slots = F.coalesce("search_slots", F.array().cast("array<struct<slot:string,query:string>>"))
+    said = F.concat(F.array("task"), F.transform(slots, lambda s: s["slot"]), F.transform(slots, lambda s: s["query"]))
+    bundle = F.concat_ws(" ", F.filter(F.transform(said, lambda t: X.strip(X.repair(F.coalesce(t, F.lit(""))))), lambda t: t != ""))
+    rows = tasks.select("*", bundle.alias("bundle"), slots.alias("slots"))
+    rows = rows.withColumn("dated", F.col("bundle").rlike(E.PERIOD)).withColumn("docs", F.array_join(F.coalesce("target_doc_ids", none()), "\x01"))
+    in_order = lambda c, name: F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias(name))))
+    whole = rows.groupBy("qid").agg(
+        F.count("*").alias("n"), F.sum(F.col("dated").cast("int")).alias("n_dated"), F.min("docs").alias("d1"), F.max("docs").alias("d2"),
+        F.max(F.lower(F.coalesce(X.falsy_null("task_type"), F.lit("retrieve"))) == "summarize").alias("sums"), F.min("pos").alias("pos"),
+        F.min_by("target_doc_ids", "pos").alias("target_doc_ids"), in_order("bundle", "x").alias("bundles"), in_order("task", "x").alias("names"),
+        in_order("slots", "x").alias("slot_lists"), in_order("known_facts", "x").alias("fact_lists"),
+    )
+    rows_of = lambda c: F.transform(c, lambda r: r["x"])
+    whole = whole.join(questions.select("qid", X.repair(F.coalesce("question", F.lit(""))).alias("question"), "answer_format"), "qid")
+    asks = any_of(F.concat_ws(" ", "question", rows_of("bundles")), TABLE_WORDS)
+    merge = whole.filter(
+        (F.col("answer_format") == "free") & (F.col("n") >= 2) & asks & ~F.col("sums") & (F.col("d1") == F.col("d2")) & (F.col("n_dated") >= 2)
+    )
+    flat = F.flatten(rows_of("slot_lists"))
+    parts = F.concat(rows_of("names"), F.transform(flat, lambda s: s["slot"]), F.transform(flat, lambda s: s["query"]))
+    merge = merge.withColumn("parts", parts).withColumn("terms", E.typed_terms(F.col("parts"), 10))
+    merge = merge.withColumn("terms", F.when(F.size("terms") >= 3, F.col("terms")).otherwise(E.typed_terms(F.concat("parts", F.array("question")), 10)))
+    extras = F.filter(F.array(*[F.lit(t) for t in TABLE_EXTRAS]), lambda t: ~F.array_contains("terms", t))
+    query = F.array_join(F.slice(F.concat("terms", extras), 1, 12), " ")
+    fact = lambda f: F.struct(F.substring(X.strip(X.repair(f["slot"])), 1, 80).alias("slot"), F.substring(X.strip(X.repair(f["value"])), 1, 160).alias("value"))
+    facts = F.flatten(F.transform(rows_of("fact_lists"), lambda a: F.coalesce(a, F.array().cast("array<struct<slot:string,value:string>>"))))
+    facts = F.slice(F.array_distinct(F.filter(F.transform(facts, fact), lambda f: (f["slot"] != "") & (f["value"] != ""))), 1, 12)
+    merged = merge.select(
+        "qid", "pos", F.lit(PERIOD_TASK).alias("task"), F.lit("retrieve").alias("task_type"), "target_doc_ids", facts.alias("known_facts"),
+        F.array(F.struct(F.lit(PERIOD_SLOT).alias("slot"), F.substring(query, 1, 120).alias("query"))).alias("search_slots"),
+    )
+    rest = tasks.join(merged.select("qid"), "qid", "left_anti")
+    return rest.select(*merged.columns).unionByName(merged)
+
+
 def compare_dates(questions: DataFrame, results: DataFrame) -> DataFrame:
     """是 or 否 whether the second document is later or earlier than the first; unknown days give no answer.
 

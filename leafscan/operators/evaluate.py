@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import extract as E
 from leafscan.functions import text as X
+from leafscan.functions.payload import backtick_value, json_block
 from leafscan.operators import index as I
 
 def none() -> Column:
@@ -324,22 +325,6 @@ UNIT_TYPE = (
 )
 
 
-def backtick_value(text: Column, label: str) -> Column:
-    """Value in back ticks after a label."""
-    return X.strip(F.regexp_extract(text, rf"{label}:[{X.WS}]*`([^`]*)`", 1))
-
-
-def json_block(text: Column, heading: str) -> Column:
-    """Fenced JSON under a heading (empty if absent)."""
-    return F.regexp_extract(text, rf"(?s){heading}[{X.WS}]*```json[{X.WS}]*(.*?)[{X.WS}]*```", 1)
-
-
-def loose_json(text: Column) -> Column:
-    """JSON object of a reply: fenced, else from the first brace to the last."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.coalesce(X.falsy_null(fenced), X.falsy_null(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
-
-
 def log_qid(path: Column, text: Column) -> Column:
     titled = F.regexp_extract(text, rf"# .*?Debug:[{X.WS}]*([A-Za-z0-9_]+)", 1)
     return F.coalesce(X.falsy_null(titled), F.regexp_replace(I.stem(path), "^(?:clean_|window_|langgraph_)", ""))

@@ -11,6 +11,7 @@ from leafscan.functions import text as X
 from leafscan.operators import index as I
 from leafscan.operators import search as Q
 from leafscan.operators import sections as S
+from leafscan.session import cut_lineage
 
 INITIAL_K = 4
 FOLLOWUP_K = 3
@@ -402,7 +403,7 @@ def review_sources(sources: DataFrame, missing: DataFrame, n: int = REVIEW_SOURC
 # How evidence refers to schedules and tables.
 TABLES = "计划表|保险计划表|费率表|现金价值表|利益表|比例表|限额表|表格?"
 REFERENCE = rf"(?:详见|见|参见|载明于|以|按照|按)([^。；;\n]{{0,40}}?(?:附表[{X.WS}]*\p{{Nd}}*|{TABLES}))"
-REFERENCE_LEAD = "^(?:本合同|本主险合同|本计划|本保险|的|中|所附|对应的)+"
+REFERENCE_LEAD = "^(?:本合同|本主险合同|本计划|本保险|的|中|所附|对应的)++"
 NOT_TABLES = ("疾病清单", "分级表", "分期表")
 SLOT_NOUN = rf"[{X.CJK}A-Za-z]{{1,18}}(?:比例|费率|金额|限额|系数|标准)[{X.WS}]*[A-ZＡ-Ｚ]?"
 
@@ -766,12 +767,14 @@ def initial_round(options: DataFrame, plans: DataFrame, slots: DataFrame, docs:
     return ranked.unionByName(whole_rows)
 
 
-def followup_round(missing: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
+def followup_round(missing: DataFrame, docs: DataFrame, pages: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """evidence for ``missing(qid, domain, slot, query, key_terms)``: the query and its ratio parts, term coverage, slot re-rank.
 
     Every missing slot is a request of its own, with its own cap; the result
     carries ``slot``. A slot with ``target_doc_ids`` looks there, any other in
-    all documents of its question.
+    all documents of its question; ``added(qid, slot, doc_id)`` come on top.
+    Where a share is asked, the amounts found for it make a row of their own
+    (D14), which enters the re-rank before all others.
     """
     slot_id = F.concat_ws("\x1f", "qid", F.coalesce("slot", F.lit("")))
     asked_slots = missing.withColumn("sid", slot_id)
@@ -780,6 +783,9 @@ def followup_round(missing: DataFrame, docs: DataFrame, pages: DataFrame) -> Dat
     if "target_doc_ids" in missing.columns:
         own = asked_slots.select("sid", F.explode("target_doc_ids").alias("doc_id")).distinct()
         targets = own.unionByName(targets.join(own.select("sid").distinct(), "sid", "left_anti"))
+    if added is not None:
+        more = added.withColumn("sid", slot_id).join(named.select("sid"), "sid", "left_semi").select("sid", "doc_id")
+        targets = targets.unionByName(more).distinct()
     targets = targets.withColumnRenamed("sid", "qid")
     asked_slots = asked_slots.withColumn("qid", F.col("sid"))
 
@@ -794,7 +800,13 @@ def followup_round(missing: DataFrame, docs: DataFrame, pages: DataFrame) -> Dat
     terms = asked_slots.select("qid", key_terms(F.col("key_terms"), F.concat_ws(" ", "slot", "query"), 10).alias("key_terms"))
     covered = term_coverage(pages, targets.join(terms, "qid"))
     covered = covered.withColumn("ord", Q.rank_by(["qid"], F.col("doc_id"), F.col("rank"))).select(*cols)
-    merged = merge_evidence(hits.select(*cols), covered)
+    merged = cut_lineage(merge_evidence(hits.select(*cols), covered))
+    shares = computed_ratio(asked_slots.select("qid", "query"), merged)
+    hint = shares.select(
+        "qid", "evidence_id", F.lit("").alias("doc_id"), F.lit("").alias("page_id"), F.lit(0).cast(dict(merged.dtypes)["page_no"]).alias("page_no"),
+        none().alias("heading_path"), "text", F.lit(0.0).alias("score"), "source", F.lit(1).alias("ord"),
+    )
+    merged = merge_evidence(hint, merged)
     n_docs = targets.groupBy("qid").agg(F.count("*").alias("n_docs"))
     cap = F.greatest(F.lit(FOLLOWUP_K + 2), F.least(F.lit(8), F.col("n_docs") * (FOLLOWUP_K + 1)))
     slots = asked_slots.select("qid", "slot", "query").join(terms, "qid").join(n_docs, "qid").withColumn("cap", cap).drop("n_docs")

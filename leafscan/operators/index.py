@@ -402,9 +402,15 @@ def toc_for_docs(section_table: DataFrame, pages: DataFrame, max_lines: int = 12
 # --- E10 ------------------------------------------------------------------
 
 
-def page_tokens(pages: DataFrame, text: str = "index_text", keys: tuple[str, ...] = ("domain", "doc_id", "page_id", "page_no")) -> DataFrame:
-    """Tokens per page, clustered by page so that counting them needs no further shuffle."""
-    return pages.repartition("page_id").select(*keys, X.tokenize(text).alias("tokens"))
+def page_tokens(
+    pages: DataFrame, text: str = "index_text", keys: tuple[str, ...] = ("domain", "doc_id", "page_id", "page_no"), buckets: int | None = None
+) -> DataFrame:
+    """Tokens per page, clustered by page so that counting them needs no further shuffle.
+
+    A table that is already bucketed by page, in ``buckets``, is read as it lies.
+    """
+    dealt = pages if buckets else pages.repartition("page_id")
+    return dealt.select(*keys, X.tokenize(text).alias("tokens"))
 
 
 def bm25_index(pages: DataFrame, text: str = "index_text") -> dict[str, DataFrame]:

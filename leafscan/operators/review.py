@@ -199,6 +199,29 @@ def relevant_targets(targets: DataFrame) -> DataFrame:
     return rows.join(good, "qid").filter(~F.col("_negative") | ~F.col("_good")).select(*targets.columns)
 
 
+# What calls for the rules on disclosure, and the name those rules go by.
+DISCLOSURE_SUBJECT = "上市公司"
+DISCLOSURE_TERMS = ("信息披露", "重大信息", "重大事项", "临时报告", "公告", "及时", "公平", "非交易")
+DISCLOSURE_RULES = ("上市公司", "信息披露", "管理办法")
+
+
+def foundational_docs(contexts: DataFrame, candidates: DataFrame, names: DataFrame, targets: DataFrame, n: int = 2) -> DataFrame:
+    """``qid, doc_id, added_no``: the rules on disclosure for questions about what listed companies must disclose.
+
+    ``contexts(qid, context)``, ``candidates(qid, doc_id, ord)``,
+    ``names(doc_id, pos, name)`` (the title and the first eight aliases count),
+    ``targets(qid, doc_id)`` are routed already. Up to ``n`` in order.
+    """
+    text = X.repair(F.coalesce("context", F.lit("")))
+    asked = contexts.filter(F.contains(text, F.lit(DISCLOSURE_SUBJECT)) & any_of(text, DISCLOSURE_TERMS)).select("qid")
+    known = names.filter("pos <= 8").groupBy("doc_id").agg(
+        X.repair(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), " ")).alias("identity")
+    )
+    rules = known.filter(F.contains("identity", F.lit(DISCLOSURE_RULES[0])) & F.contains("identity", F.lit(DISCLOSURE_RULES[1])) & F.contains("identity", F.lit(DISCLOSURE_RULES[2])))
+    rows = candidates.join(rules.select("doc_id"), "doc_id", "left_semi").join(asked, "qid", "left_semi").join(targets.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_anti")
+    return rows.withColumn("added_no", Q.rank_by(["qid"], F.col("ord"))).filter(F.col("added_no") <= n).select("qid", "doc_id", "added_no")
+
+
 # --- H15 -------------------------------------------------------------------------
 
 
@@ -227,3 +250,59 @@ def summary_facts(slots: DataFrame) -> DataFrame:
     first = rows.filter("slot <> '' AND value <> ''").groupBy("qid", "slot", "value", "ids").agg(F.min("ord").alias("ord"))
     source = F.when(F.array_contains("ids", "题干"), "user_query").otherwise("document")
     return first.select("qid", "ord", "slot", "value", F.slice("ids", 1, 6).alias("evidence_ids"), source.alias("source"))
+
+
+# Raw answers that mean yes and no, and what they mean per task type.
+YES, NO = ("T", "A", "TRUE", "正确"), ("F", "B", "FALSE", "错误")
+ANSWER_LABELS = {
+    "claim_verification": ("supported", "contradicted_or_insufficient"),
+    "rule_applicability": ("applicable", "not_applicable_or_insufficient"),
+}
+REASONS, FACTS = 2, 8
+
+
+def answer_label(task_type: Column, raw: Column) -> Column:
+    """What a final answer says for its task type; other answers as they are."""
+    answer = X.strip(F.coalesce(raw, F.lit("")))
+    out = answer
+    for kind, (yes, no) in ANSWER_LABELS.items():
+        out = F.when((task_type == kind) & answer.isin(*YES), yes).when((task_type == kind) & answer.isin(*NO), no).otherwise(out)
+    return out
+
+
+def summary_reasons(judgments: DataFrame, overall: DataFrame, n: int = REASONS) -> DataFrame:
+    """``qid, reason``: the first ``n`` reasons of ``judgments(qid, option_ord, reason)``, a line each; else that of ``overall(qid, reason)``."""
+    given = judgments.filter(F.coalesce("reason", F.lit("")) != "").withColumn("_n", Q.rank_by(["qid"], F.col("option_ord"))).filter(F.col("_n") <= n)
+    lines = given.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "reason"))), lambda x: x["reason"]), "\n").alias("lines"))
+    whole = overall.groupBy("qid").agg(F.first("reason", True).alias("whole"))
+    return lines.join(whole, "qid", "full").select("qid", F.coalesce("lines", X.falsy_null("whole"), F.lit("")).alias("reason"))
+
+
+def first_confidence(judgments: DataFrame, overall: DataFrame) -> DataFrame:
+    """``qid, confidence``: the first number given by the overall judgment, else by the options in order; NULL without one."""
+    own = overall.select("qid", F.lit(0).alias("place"), F.col("confidence").cast("string").alias("raw"))
+    rows = own.unionByName(judgments.select("qid", (F.col("option_ord") + 1).cast("int").alias("place"), F.col("confidence").cast("string").alias("raw")))
+    given = rows.filter("raw IS NOT NULL AND raw <> ''").groupBy("qid").agg(F.min_by("raw", "place").alias("raw"))
+    return rows.select("qid").distinct().join(given, "qid", "left").select("qid", F.expr("try_cast(raw AS double)").alias("confidence"))
+
+
+def answer_summary(states: DataFrame, evidence: DataFrame, slots: DataFrame, judgments: DataFrame, overall: DataFrame, errors: DataFrame) -> DataFrame:
+    """A result row per question: status, label, raw answer, evidence, facts, question facts, reason, confidence and error.
+
+    ``states(qid, task_type, status, final_answer)``; ``errors(qid, error)``
+    are questions whose run failed: their row has the status ``error``, the
+    message and nothing else.
+    """
+    items = evidence_summary(evidence)
+    quotes = items.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("item_no", *[c for c in items.columns if c not in ("qid", "item_no")]))).alias("evidence"))
+    facts = summary_facts(slots).withColumn("_n", Q.rank_by(["qid", "source"], F.col("ord"))).filter(F.col("_n") <= FACTS)
+    one = F.struct("ord", "slot", "value", "evidence_ids")
+    said = lambda source: F.array_sort(F.collect_list(F.when(F.col("source") == source, one)))
+    sorted_facts = facts.groupBy("qid").agg(said("document").alias("facts"), said("user_query").alias("question_info"))
+    failed = errors.groupBy("qid").agg(F.first("error", True).alias("error"))
+    rows = states.select("qid", "status", answer_label(F.col("task_type"), F.col("final_answer")).alias("answer"), F.coalesce("final_answer", F.lit("")).alias("raw_final_answer"))
+    rows = rows.join(quotes, "qid", "left").join(sorted_facts, "qid", "left").join(summary_reasons(judgments, overall), "qid", "left")
+    rows = rows.join(first_confidence(judgments, overall), "qid", "left").join(failed, "qid", "full")
+    wrong = F.col("error").isNotNull()
+    kept = [F.when(~wrong, F.col(c)).alias(c) for c in ("answer", "raw_final_answer", "evidence", "facts", "question_info", "reason", "confidence")]
+    return rows.select("qid", F.when(wrong, "error").otherwise(F.col("status")).alias("status"), *kept, "error")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafscan.functions import text as X
 from leafscan.functions.containment import contains_join
 from leafscan.operators import index as I
+from leafscan.operators.stored_index import StoredIndex
 from leafscan.session import Batch, measure, small
 
 K1 = 1.5
@@ -34,14 +35,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(
-    queries: DataFrame, pages: DataFrame, allowed: DataFrame | None = None, text: str = "index_text", batch: Batch | None = None
+    queries: DataFrame, pages: DataFrame | StoredIndex, allowed: DataFrame | None = None, text: str = "index_text", batch: Batch | None = None
 ) -> DataFrame:
     """F2: scores of all pages sharing a term with a query of their domain.
 
     Statistics cover the whole domain even under a document filter
-    ``allowed(qid, doc_id)``. Pages are shuffled once, by page; the query side
-    is joined to them where they lie, and scores are summed there.
+    ``allowed(qid, doc_id)``. A stored index is read only where it holds terms
+    of the batch, and nothing of it is exchanged. Pages without one are
+    shuffled once, by page; the query side is joined to them where they lie.
     """
+    if isinstance(pages, StoredIndex):
+        return stored_bm25(queries, pages, allowed)
     if batch is None:
         # with a document filter every (query, document) pair brings the query's terms
         pairs = queries if allowed is None else allowed.select("qid", "doc_id").distinct().join(queries.select("qid", "query"), "qid")
@@ -61,6 +65,36 @@ def bm25(
     return score_postings(terms, postings, df, corpus, batch, allowed)
 
 
+def page_rows(pages: DataFrame | StoredIndex) -> DataFrame:
+    return pages.pages if isinstance(pages, StoredIndex) else pages
+
+
+def stored_bm25(queries: DataFrame, index: StoredIndex, allowed: DataFrame | None = None) -> DataFrame:
+    """F2 over a stored index; under a document filter postings meet the allowed documents first."""
+    batch = measure(queries)
+    terms, inside = index.asked(query_terms(queries))
+    df = index.terms.filter(inside[0] & inside[1])
+    weights = (
+        df.join(batch.hint_terms(terms), ["domain", "term_bucket", "term"])
+        .join(index.corpus, "domain")
+        .select("qid", "domain", "term", "avgdl", (I.idf(F.col("n"), F.col("df")) * F.col("qtf")).alias("w"))
+    )
+    postings = index.postings.filter(inside[0] & inside[1]).drop("term_bucket")
+    keys = ["domain", "term"]
+    if allowed is not None:
+        vocabulary = batch.hint_terms(terms.select("domain", "term").distinct())
+        pairs = small(allowed.select("qid", "doc_id").distinct())
+        postings, keys = postings.join(vocabulary, ["domain", "term"], "left_semi").join(pairs, "doc_id"), ["qid", "domain", "term"]
+    hits = postings.join(batch.hint_terms(weights), keys)
+    return hits.groupBy("page_id", "qid", "domain", "doc_id", "page_no").agg(F.sum(weight_of_term()).alias("score")).filter("score > 0")
+
+
+def weight_of_term() -> Column:
+    """Share of a term in a page's score, from ``w, tf, dl, avgdl``."""
+    tf, dl = F.col("tf"), F.when(F.col("dl") == 0, 1).otherwise(F.col("dl"))
+    return F.col("w") * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl"))))
+
+
 def score_postings(
     terms: DataFrame, postings: DataFrame, df: DataFrame, corpus: DataFrame, batch: Batch, allowed: DataFrame | None = None
 ) -> DataFrame:
@@ -70,8 +104,6 @@ def score_postings(
         .join(corpus, "domain")
         .select("qid", "domain", "term", "avgdl", (I.idf(F.col("n"), F.col("df")) * F.col("qtf")).alias("w"))
     )
-    tf, dl = F.col("tf"), F.when(F.col("dl") == 0, 1).otherwise(F.col("dl"))
-    part = F.col("w") * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl"))))
     if allowed is None:
         hits = postings.join(batch.hint_terms(weights), ["domain", "term"])
     else:
@@ -79,7 +111,7 @@ def score_postings(
         asked = weights.join(allowed.select("qid", "doc_id").distinct(), "qid")
         hits = postings.join(batch.hint_terms(asked), ["domain", "doc_id", "term"])
     return (
-        hits.groupBy("page_id", "qid", "domain", "doc_id", "page_no").agg(F.sum(part).alias("score")).filter("score > 0")
+        hits.groupBy("page_id", "qid", "domain", "doc_id", "page_no").agg(F.sum(weight_of_term()).alias("score")).filter("score > 0")
     )
 
 
@@ -89,7 +121,7 @@ def clamp(n: int, low: int, high: int) -> int:
 
 def search_pages(
     queries: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | StoredIndex,
     allowed: DataFrame | None = None,
     k: int = 5,
     quote: int = 700,
@@ -100,7 +132,7 @@ def search_pages(
     pairs = queries if allowed is None else allowed.select("qid", "doc_id").distinct().join(queries.select("qid", "query"), "qid")
     batch = measure(pairs)
     top = top_pages(bm25(queries, pages, allowed, text, batch), k)
-    found = pages.join(batch.hint(top.select("page_id", "qid", "score", "rank"), k), "page_id")
+    found = page_rows(pages).join(batch.hint(top.select("page_id", "qid", "score", "rank"), k), "page_id")
     shown = X.clip(F.coalesce(X.falsy_null("text"), F.col(text)), quote)
     return found.select("qid", "domain", "doc_id", "page_id", F.round("score", 3).alias("score"), "rank", "heading_path", shown.alias("quote"))
 
@@ -112,7 +144,7 @@ def top_pages(scores: DataFrame, k: int, per: list[str] | None = None) -> DataFr
 
 
 def retrieve_multi(
-    requests: DataFrame, pages: DataFrame, k: int, source: str, text: str = "index_text", batch: Batch | None = None
+    requests: DataFrame, pages: DataFrame | StoredIndex, k: int, source: str, text: str = "index_text", batch: Batch | None = None
 ) -> DataFrame:
     """evidence rows, the k best pages per (query, document) of ``requests(qid, domain, query, doc_id)``."""
     batch = batch or measure(requests)
@@ -121,9 +153,9 @@ def retrieve_multi(
     return evidence_rows(batch.hint(top.select("page_id", "qid", "score", "rank"), k), pages, source)
 
 
-def evidence_rows(scored: DataFrame, pages: DataFrame, source: str) -> DataFrame:
+def evidence_rows(scored: DataFrame, pages: DataFrame | StoredIndex, source: str) -> DataFrame:
     """Evidence schema for scored pages."""
-    return pages.join(scored, "page_id").select(
+    return page_rows(pages).join(scored, "page_id").select(
         "qid",
         F.col("page_id").alias("evidence_id"),
         "doc_id",
@@ -170,7 +202,7 @@ def catalog_score(queries: DataFrame, catalog: DataFrame, max_terms: int = 12, b
     )
 
 
-def search_docs(queries: DataFrame, pages: DataFrame, catalog: DataFrame, k: int = 5, pool: int = 50, text: str = "index_text") -> DataFrame:
+def search_docs(queries: DataFrame, pages: DataFrame | StoredIndex, catalog: DataFrame, k: int = 5, pool: int = 50, text: str = "index_text") -> DataFrame:
     """documents by the sum of their pages among the ``pool`` best plus the catalog score."""
     k = clamp(k, 1, 20)
     batch = measure(queries)
@@ -180,7 +212,7 @@ def search_docs(queries: DataFrame, pages: DataFrame, catalog: DataFrame, k: int
     )
     # matched terms of the best page of each document
     lead = per_doc.select("qid", "page_id")
-    texts = pages.join(batch.hint(lead.select("page_id").distinct(), pool), "page_id", "left_semi").select(
+    texts = page_rows(pages).join(batch.hint(lead.select("page_id").distinct(), pool), "page_id", "left_semi").select(
         "page_id", "domain", F.coalesce(X.falsy_null("text"), F.col(text)).alias("shown_text")
     )
     found = term_hits(query_terms(queries), texts, ["page_id"], "shown_text", batch).join(batch.hint(lead, pool), ["qid", "page_id"], "left_semi")
@@ -247,7 +279,7 @@ def target_docs(questions: DataFrame) -> DataFrame:
     return rows.filter(F.col("_all") | ~F.col("_some") | chosen).select("qid", "doc_id", (F.col("pos") + 1).alias("ord"))
 
 
-def retrieve_questions(questions: DataFrame, pages: DataFrame, k: int = 5, text: str = "index_text") -> DataFrame:
+def retrieve_questions(questions: DataFrame, pages: DataFrame | StoredIndex, k: int = 5, text: str = "index_text") -> DataFrame:
     """F8: best pages per targeted document, merged by score within the question.
 
     ``questions(qid, domain, question, options, doc_ids)``; every option also asks on its own.

@@ -13,6 +13,7 @@ from leafscan.functions import extract as E
 from leafscan.functions import text as X
 from leafscan.operators import index as I
 from leafscan.operators import search as Q
+from leafscan.operators.stored_index import StoredIndex
 from leafscan.session import measure
 
 MIN_PAGE_CHARS = 20
@@ -168,7 +169,7 @@ def section_context(chosen: DataFrame, bridge: DataFrame, pages: DataFrame, per_
 
 def section_search(
     requests: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | StoredIndex,
     sections: DataFrame,
     bridge: DataFrame,
     k: int = 4,
@@ -186,6 +187,7 @@ def section_search(
     scores = Q.bm25(requests.select("qid", "domain", "query").distinct(), pages, requests, text, batch).select(
         "qid", "doc_id", "page_id", "page_no", "score"
     )
+    pages = Q.page_rows(pages)
     by_heading = pages.select("doc_id", I.heading_text().alias("section_id"), "page_id", "page_no")
     tiers = []
     for tier, rows, table, variant in (
@@ -270,7 +272,7 @@ def section_pages_ranked(chosen: DataFrame, sections: DataFrame, bridge: DataFra
 
 # How a text refers to a heading.
 POINTER = (
-    rf"(?m)(?:^|[{X.WS}])(?:第[一二三四五六七八九十百千万\p{{Nd}}]+[章节条]|[一二三四五六七八九十]+[、.]|\p{{Nd}}+(?:\.\p{{Nd}}+)+|"
+    rf"(?m)(?:^|[{X.WS}])(?:第[一二三四五六七八九十百千万\p{{Nd}}]+[章节条]|[一二三四五六七八九十]+[、.]|\p{{Nd}}+(?:\.\p{{Nd}}+){{1,100}}|"
     rf"[（(]\p{{Nd}}+[）)]|[①②③④⑤⑥⑦⑧⑨⑩])[{X.WS}]*[^。\n]{{1,40}}"
 )
 

@@ -23,7 +23,7 @@ LEGAL_HEADINGS = (
     f"^[{X.WS}]*第[{LEGAL_NUM}]+节",
     f"^[{X.WS}]*第[{LEGAL_NUM}]+条",
 )
-DOTTED = r"\p{Nd}+(?:\.\p{Nd}+)+"
+DOTTED = r"\p{Nd}++(?:\.\p{Nd}++)++"
 MARKER = (
     rf"^[{X.WS}]*({DOTTED}(?=[{X.WS}])|\p{{Nd}}+[\.、．]|[{E.CHINESE_NUM}]+[、．\.]|"
     rf"[（(][{E.CHINESE_NUM}]+[）)]|[（(]\p{{Nd}}+[）)]|\p{{Nd}}+[）)])[{X.WS}]*[^{X.WS}]"
@@ -33,25 +33,29 @@ PAREN_DIGITS = r"^(?:[（(]\p{Nd}+[）)]|\p{Nd}+[）)])"
 MODES = ("heading", "heading_plus_numbered", "block", "legal")
 
 
-def _heading(line: Column, mode: str) -> tuple[Column, Column]:
+def _heading(line: Column, mode: Column) -> tuple[Column, Column]:
     """Level (NULL for body lines) and title of a heading line."""
-    if mode == "legal":
-        level = F.lit(None).cast("int")
-        for depth, pattern in reversed(list(enumerate(LEGAL_HEADINGS, start=1))):
-            level = F.when(line.rlike(pattern), F.lit(depth)).otherwise(level)
-        return level, X.strip(line)
+    depth = F.lit(None).cast("int")
+    for level, pattern in reversed(list(enumerate(LEGAL_HEADINGS, start=1))):
+        depth = F.when(line.rlike(pattern), F.lit(level)).otherwise(depth)
     hashes = F.length(F.regexp_extract(line, MARKDOWN_HEADING, 1))
-    return F.when(hashes > 0, hashes), X.strip(F.regexp_extract(line, MARKDOWN_HEADING, 2))
+    legal = mode == "legal"
+    title = F.when(legal, line).otherwise(F.regexp_extract(line, MARKDOWN_HEADING, 2))
+    return F.when(legal, depth).otherwise(F.when(hashes > 0, hashes)), X.strip(title)
 
 
-def outline(docs: DataFrame, mode: str) -> DataFrame:
+def outline(docs: DataFrame, mode: str | None = None) -> DataFrame:
     """One row per heading, marker or run of body lines of ``docs(doc_id, text, ..)``.
 
     ``text`` must already be normalised (B2). All other columns are carried
     along. ``entry`` rows open a table-of-contents line; ``text`` is the body.
+    Without ``mode`` every document has its own in the column ``mode``, and all
+    of them are split in the same pass.
     """
-    if mode not in MODES:
+    if mode is not None and mode not in MODES:
         raise ValueError(f"unknown split mode {mode}")
+    way = F.col("mode") if mode is None else F.lit(mode)
+    numbered, in_blocks = way.isin("heading_plus_numbered", "legal"), way == "block"
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
     by_pos = Window.partitionBy("doc_id").orderBy("pos")
     so_far = by_pos.rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +64,7 @@ def outline(docs: DataFrame, mode: str) -> DataFrame:
     rows = docs.repartition("doc_id").select(
         "doc_id", *carried, F.length("text").alias("n_text"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
-    level, title = _heading(F.col("line"), mode)
+    level, title = _heading(F.col("line"), way)
     rows = rows.select("*", level.alias("h_level"), title.alias("h_title"))
     is_head = F.col("h_level").isNotNull()
     rows = rows.select(
@@ -87,19 +91,14 @@ def outline(docs: DataFrame, mode: str) -> DataFrame:
     )
     rows = rows.withColumn("heads", F.array_compact(open_heads)).drop(*[f"h{d}" for d in range(1, 7)])
 
-    if mode in ("heading_plus_numbered", "legal"):
-        marker = F.regexp_extract("line", MARKER, 1)
-        opens = (marker != "") & ~is_head & (F.col("seg") > 0)
-    elif mode == "block":
+    marker = F.when(numbered, F.regexp_extract("line", MARKER, 1)).otherwise("")
+    if mode is None or mode == "block":
         kind = F.when(is_head, "heading").when(E.is_table_line(F.col("line")), "table").otherwise("text")
-        rows = rows.withColumn("kind", kind)
-        marker = F.lit("")
-        opens = ~is_head & (F.col("kind") != F.coalesce(F.lag("kind").over(by_pos), F.lit("heading")))
+        rows = rows.withColumn("kind", F.when(in_blocks, kind).otherwise("section"))
+        turns = F.col("kind") != F.coalesce(F.lag("kind").over(by_pos), F.lit("heading"))
     else:
-        marker = F.lit("")
-        opens = F.lit(False)
-    if mode != "block":
-        rows = rows.withColumn("kind", F.lit("section"))
+        rows, turns = rows.withColumn("kind", F.lit("section")), F.lit(False)
+    opens = ~is_head & F.when(in_blocks, turns).otherwise((marker != "") & (F.col("seg") > 0))
     rows = rows.select("*", F.when(opens, marker).otherwise("").alias("marker"), F.when(opens, 1).otherwise(0).alias("opens"))
     rows = rows.withColumn(
         "run", F.sum("opens").over(Window.partitionBy("doc_id", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
@@ -123,7 +122,7 @@ def outline(docs: DataFrame, mode: str) -> DataFrame:
         "char_end",
         F.coalesce(F.lead("row_start").over(Window.partitionBy("doc_id").orderBy("first_pos")), F.col("n_text")),
     )
-    if mode in ("heading_plus_numbered", "legal"):
+    if mode is None or mode in ("heading_plus_numbered", "legal"):
         groups = _numbered_paths(groups)
     else:
         groups = groups.withColumn("numbered", F.array().cast("array<struct<level:int,title:string>>"))
@@ -152,11 +151,15 @@ def _numbered_paths(groups: DataFrame) -> DataFrame:
     """Levels of list markers and the open markers at each of them.
 
     The level of a marker depends only on the marker before it, so it is a
-    running count; the open markers need a stack, folded per heading.
+    running count. A marker of a lower level is still open if it is the last of
+    its level and none of a yet lower level came after it. Each marker asks for
+    the last one of every lower level, in order of the level's own rows, so the
+    work is that of writing the paths down.
     """
     w = Window.partitionBy("doc_id", "seg").orderBy("run")
     dotted = F.col("marker").rlike(f"^{DOTTED}")
     title = X.strip(F.col("raw_title"))
+    marked = (F.col("run") > 0) & (F.col("marker") != "")
     after_colon = F.coalesce(F.lag(F.when(F.col("run") > 0, title.rlike("[：:]$"))).over(w), F.lit(False))
     deeper = (F.col("run") > 0) & F.col("marker").rlike(PAREN_DIGITS) & after_colon & ~dotted
     fixed = F.when(dotted, F.regexp_count("marker", F.lit(r"\.")) + 1).otherwise(F.lit(1))
@@ -167,26 +170,18 @@ def _numbered_paths(groups: DataFrame) -> DataFrame:
         "n_level", (F.first("_fixed").over(in_base) + F.row_number().over(in_base) - 1).cast("int")
     ).drop("_deeper", "_fixed", "_base")
 
-    fields = [c for c in groups.columns if c not in ("doc_id", "seg")]
-    folded = groups.groupBy("doc_id", "seg").agg(F.array_sort(F.collect_list(F.struct("run", *[c for c in fields if c != "run"]))).alias("rows"))
-    stack_type = "array<struct<level:int,title:string>>"
-
-    def step(acc: Column, row: Column) -> Column:
-        kept = F.filter(acc["stack"], lambda s: s["level"] < row["n_level"])
-        stack = F.when(
-            row["run"] > 0,
-            F.concat(kept, F.array(F.struct(row["n_level"].alias("level"), X.strip(row["raw_title"]).alias("title")))),
-        ).otherwise(F.array().cast(stack_type))
-        return F.struct(stack.alias("stack"), F.concat(acc["paths"], F.array(stack)).alias("paths"))
-
-    paths = F.aggregate(
-        "rows",
-        F.struct(F.array().cast(stack_type).alias("stack"), F.array().cast(f"array<{stack_type}>").alias("paths")),
-        step,
-        lambda acc: acc["paths"],
-    )
-    out = folded.select("doc_id", "seg", F.explode(F.arrays_zip("rows", paths.alias("paths"))).alias("z"))
-    return out.select("doc_id", "seg", F.col("z.rows.*"), F.col("z.paths").alias("numbered"))
+    own = ["doc_id", "seg", "run"]
+    marks = groups.filter(marked).select(*own, "n_level", title.alias("title"))
+    levels = F.sequence(F.lit(1), F.col("n_level"))
+    asked = marks.select(*own, "n_level", F.explode(levels).alias("level"), "title")
+    mark = F.when(F.col("level") == F.col("n_level"), F.struct("run", "title"))
+    in_level = Window.partitionBy("doc_id", "seg", "level").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.select(*own, "level", F.last(mark, True).over(in_level).alias("last")).filter("last is not null")
+    lower = Window.partitionBy(*own).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    open_marks = found.withColumn("_newer", F.max("last.run").over(lower)).filter("_newer is null or _newer < last.run")
+    paths = open_marks.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("level", F.col("last.title").alias("title")))).alias("numbered"))
+    none = F.array().cast("array<struct<level:int,title:string>>")
+    return groups.join(paths, own, "left").withColumn("numbered", F.coalesce("numbered", none))
 
 
 def toc_of(rows: DataFrame) -> DataFrame:
@@ -239,45 +234,70 @@ def split_corpus(docs: DataFrame, default: str = "heading") -> DataFrame:
     mode = F.when(F.lower("source_path").endswith(".txt"), "legal").otherwise(
         F.coalesce(X.falsy_null("mode"), F.lit(default))
     )
-    docs = docs.withColumn("mode", mode)
-    parts = [outline(docs.filter(F.col("mode") == m), m) for m in MODES]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return outline(docs.withColumn("mode", F.when(mode.isin(*MODES), mode).otherwise(default)))
 
 
 def pack(col: Column | str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """Text as an array of parts of at most ``max_chars``.
 
     Paragraphs are packed greedily; a paragraph longer than a part is cut into
-    overlapping windows and always stands alone.
+    overlapping windows and always stands alone. Every paragraph points to the
+    first that no longer fits into a part it begins, found by bisection of the
+    running lengths; the parts begin where the pointers lead from the first
+    paragraph, found by doubling. So n paragraphs take n log n steps.
     """
     c = F.col(col) if isinstance(col, str) else col
     paragraphs = F.filter(
         F.transform(F.split(c, f"\n[{X.WS}]*\n"), lambda p: X.strip(p)), lambda p: p != ""
     )
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, para: Column) -> Column:
-        joined = X.strip(F.concat(acc["current"], F.lit("\n\n"), para))
-        fits = F.length(acc["current"]) + F.length(para) + 2 <= max_chars
-        # flushed parts: the open one, then the windows of an oversize paragraph
-        flushed = F.filter(F.array(acc["current"]), lambda x: x != "")
-        wide = F.length(para) > max_chars
+    wide = lambda p: F.length(p) > max_chars
+
+    def windows(para: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.length(para) - overlap - 1, F.lit(0)), F.lit(max_chars - overlap))
-        windows = F.when(wide, F.transform(starts, lambda s: F.substring(para, s + 1, F.lit(max_chars)))).otherwise(empty)
-        parts = F.when(fits, acc["parts"]).otherwise(F.concat(acc["parts"], flushed, windows))
-        current = F.when(fits, joined).when(wide, F.lit("")).otherwise(para)
-        return F.struct(parts.alias("parts"), current.alias("current"))
-
-    packed = F.aggregate(
-        paragraphs,
-        F.struct(empty.alias("parts"), F.lit("").alias("current")),
-        step,
-        lambda acc: F.concat(acc["parts"], F.filter(F.array(acc["current"]), lambda x: x != "")),
-    )
-    return F.when(F.length(c) <= max_chars, F.array(c)).otherwise(packed)
+        return F.transform(starts, lambda s: F.substring(para, s + 1, F.lit(max_chars)))
+
+    def packed(paras: Column) -> Column:
+        # offsets in the text of all paragraphs with a blank line between them
+        lengths = F.transform(paras, lambda p: F.length(p).cast("long") + 2)
+        starts = X.running_sums(F.concat(F.array(F.lit(0).cast("long")), lengths))
+        return X.let(starts, lambda at: X.let(pointers(at), lambda jumps: parts(paras, jumps)))
+
+    def pointers(at: Column) -> Column:
+        """Per paragraph the next part's first one, and at the end the number of paragraphs, which points to itself."""
+        n = F.size(at) - 1
+        bits = F.sequence(F.ceil(F.log2(F.size(at))).cast("int"), F.lit(0))
+
+        def first_beyond(start: Column, i: Column) -> Column:
+            def bisect(low: Column, k: Column) -> Column:
+                probe = low + X.power_of_two(k)
+                return F.when((probe <= n) & (F.get(at, probe) <= start + max_chars + 2), probe).otherwise(low)
+
+            return F.greatest(F.least(i + 1, n), F.aggregate(bits, F.lit(0), bisect))
+
+        return F.transform(at, first_beyond)
+
+    def parts(paras: Column, jumps: Column) -> Column:
+        n = F.size(jumps) - 1
+        depth = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(jumps))).cast("int"), F.lit(1)))
+        last = lambda acc: F.element_at(acc, -1)
+        doubled = F.aggregate(depth, F.array(jumps), lambda acc, _: F.concat(acc, F.array(F.transform(last(acc), lambda x: F.get(last(acc), x)))))
+
+        def begins(table: Column) -> Column:
+            every = F.sequence(F.lit(0), F.size(table) - 1)
+            lead = lambda t: F.aggregate(
+                every, F.lit(0), lambda at, k: F.when(F.floor(t / X.power_of_two(k)) % 2 == 1, F.get(F.get(table, k), at)).otherwise(at)
+            )
+            return F.filter(F.transform(F.sequence(F.lit(0), n), lead), lambda b: b < n)
+
+        def part(b: Column) -> Column:
+            alone = F.get(paras, b)
+            whole = F.array(F.array_join(F.slice(paras, b + 1, F.get(jumps, b) - b), "\n\n"))
+            return F.when(wide(alone), windows(alone)).otherwise(whole)
+
+        return X.let(doubled, lambda table: F.flatten(F.transform(begins(table), part)))
+
+    some = X.let(paragraphs, lambda paras: F.when(F.size(paras) > 0, packed(paras)).otherwise(F.array().cast("array<string>")))
+    return F.when(F.length(c) <= max_chars, F.array(c)).otherwise(some)
 
 
 def make_pages(blocks: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:

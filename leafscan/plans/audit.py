@@ -78,7 +78,11 @@ def h2(spark, d):
     return A.filter_facts(rows).select("qid")
 
 
-@query("h3_reference_missing")
+@query(
+    "h3_reference_missing",
+    f"""WITH {CONTRACT_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord DESC) AS b, bool_or(page_no % 4 = 0) OVER (PARTITION BY qid) AS known FROM ce)
+    SELECT qid, '给付比例' AS slot, '附表2 给付比例' AS followup_query, '附表2' AS reference_target, arg_min(id, ord) AS source_evidence_id FROM l WHERE b <= 12 AND NOT known GROUP BY qid""",
+)
 def h3(spark, d):
     """Notes that refer to a schedule; a quarter of the customers has the value in another note."""
     e = contract_evidence(spark, d)
@@ -116,7 +120,27 @@ def h5(spark, d):
     return A.merge_slots(rows.filter("ord % 2 = 0"), rows.filter("ord % 2 = 1")).select("qid", "slot", "value", "ord")
 
 
-@query("h6_complete_slots")
+WHOLE = "是否支持当前选项中的全称陈述"
+CAUSE = "当前选项原因是否有证据支持："
+
+
+def tokens_of(run: str, n: int) -> list[str]:
+    """A run of signs, its pairs and its triples, the first ``n``."""
+    return list(dict.fromkeys([run, *[run[i : i + k] for k in (2, 3) for i in range(len(run) - k + 1)]]))[:n]
+
+
+def cause_sql(pos: int, cause: str) -> str:
+    terms = tokens_of(cause, 8)
+    return f"SELECT qid, 2 AS side, {pos} AS pos, '{CAUSE}{cause}' AS slot, '是' AS expected, '{' '.join(terms)}' AS queries, '{'|'.join(terms)}' AS key_terms FROM k WHERE k % 3 = 1"
+
+
+@query(
+    "h6_complete_slots",
+    f"""WITH k AS (SELECT 'q' || o_orderkey AS qid, o_orderkey AS k FROM orders),
+    e AS (SELECT qid, '公司' || (k % 5) AS e, 0 AS n FROM k WHERE k % 3 = 0 AND k % 5 <> k % 7 UNION ALL SELECT qid, '乙公司', 1 FROM k WHERE k % 3 = 0)
+    SELECT qid, CAST(1 AS BIGINT) AS side, row_number() OVER (PARTITION BY qid ORDER BY n) - 1 AS pos, e || '{WHOLE}' AS slot, '' AS expected, e || ' 收入' AS queries, e || '|收入' AS key_terms FROM e
+    UNION ALL {cause_sql(0, '华东需求旺盛')} UNION ALL {cause_sql(1, '华东成本下降')}""",
+)
 def h6(spark, d):
     claim = pick(K(), "两家公司都实现增长", "市场位于华东，因为当地需求旺盛且成本下降", "收入增长")
     o = orders(spark, d)

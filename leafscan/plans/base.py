@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import text as X
 from leafscan.operators import segment as S
+from leafscan.operators.stored_index import StoredIndex, fingerprint, index_for
 from leafscan.session import configure, cut_lineage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +108,11 @@ pg AS (
   FROM doc_lines WHERE trim(text) <> '')"""
 
 
+def line_index(spark: SparkSession, d: str) -> StoredIndex:
+    """Stored search index of the line pages, reused as long as the documents' files are the same."""
+    return index_for(spark, f"lines-{fingerprint(spark, f'{d}/documents.parquet')}", lambda: line_pages(spark, d))
+
+
 def bench_queries(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
     return items.select(
@@ -155,6 +161,24 @@ bm AS (
 )
 
 
+def own_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every document is asked by the benchmark text on which its number falls, in its own language: ``qid, domain, query, doc_id``."""
+    docs = line_pages(spark, d).select("doc_id", "domain").distinct()
+    item = falls_on(spark, d, F.substring("doc_id", 2, 20).cast("bigint"))
+    texts = table(spark, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("item"), F.col("text").alias("query"))
+    return docs.withColumn("item", item).join(texts, "item").select(F.concat_ws("_", "item", "domain").alias("qid"), "domain", "query", "doc_id")
+
+
+OWN_REQUESTS_SQL = """
+SELECT 'q' || item_id || '_' || domain AS qid, domain, doc_id FROM (SELECT DISTINCT doc_id, domain FROM pg) p
+JOIN benchmark b ON CAST(substr(p.doc_id, 2) AS BIGINT) % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id"""
+# The same scores for every text in every language.
+OWN_BM25_SQL = BM25_SQL.replace(
+    QUERIES_SQL, """
+qs AS (SELECT 'q' || item_id || '_' || domain AS qid, domain, text AS query FROM benchmark, (SELECT DISTINCT domain FROM pg) l)"""
+)
+
+
 def markdown_docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents as markdown: every non-blank line gets a heading from its first words; an empty heading precedes each fifth."""
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "num")
@@ -227,6 +251,12 @@ def markdown_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return _BUILT[key]
 
 
+def markdown_search(spark: SparkSession, d: str) -> StoredIndex:
+    """Stored search index of the markdown pages."""
+    pages = lambda: markdown_index(spark, d)["pages"].withColumn("index_text", F.col("text"))
+    return index_for(spark, f"markdown-{fingerprint(spark, f'{d}/documents.parquet')}", pages)
+
+
 def build_markdown_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     from leafscan.operators import index as I
 

@@ -8,7 +8,7 @@ from leafscan.functions import extract as E
 from leafscan.functions import text as X
 from leafscan.operators import evaluate as V
 from leafscan.operators import search as Q
-from leafscan.plans.base import BM25_SQL, bench_queries, line_pages, query, table
+from leafscan.plans.base import BM25_SQL, bench_queries, line_index, line_pages, query, table
 from leafscan.plans.memory import turns
 from leafscan.plans.memory import TURNS_SQL
 from leafscan.plans.search import TOP_SQL
@@ -228,7 +228,7 @@ def d24(spark, d):
 
 def cases_and_responses(spark, d):
     """Benchmark texts as cases with labels as expectations; responses are the pages searched for them."""
-    hits = Q.search_pages(bench_queries(spark, d), line_pages(spark, d), k=3, quote=120)
+    hits = Q.search_pages(bench_queries(spark, d), line_index(spark, d), k=3, quote=120)
     responses = hits.groupBy(F.col("qid").alias("id")).agg(
         F.array_agg(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("doc_ids"),
         F.transform(
@@ -392,7 +392,16 @@ def k6(spark, d):
     )
 
 
-@query("k7_to_messages")
+NULLS = ",".join(f'"{c}":null' for c in ("condition_satisfied", "filled", "missing", "evidence_marks", "next_action", "reason"))
+
+
+@query(
+    "k7_to_messages",
+    f"""WITH {ORDERS_SQL} SELECT doc_id || ':u' || page_no AS id, 'system,user,assistant' AS roles,
+      '{{"kind":"option","option":"A","claim":"' || title || '","option_subject":null,"question_condition":null,"task":null,"target_doc_ids":["' || doc_id || '"],"slots":[],"evidence":[{{"evidence_id":"'
+      || page_id || '","doc_id":"' || doc_id || '","heading":"合同 > ' || status || '","source":"initial","mark":"useful","text":"' || text || '"}}],"notes":[]}}' AS user,
+      '{{"status":"' || CASE WHEN page_no % 2 = 0 THEN 'complete' ELSE 'partial' END || '",{NULLS}}}' AS assistant FROM op WHERE page_no % 5 <> 0""",
+)
 def k7(spark, d):
     m = V.to_messages(V.audit_samples(run_logs(spark, d)), "Audit the evidence.")
     roles = F.array_join(F.transform("messages", lambda x: x["role"]), ",")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from leafscan.functions import focus as C
 from leafscan.functions import text as X
 from leafscan.operators import evidence as V
-from leafscan.operators import index as I
+from leafscan.operators import rounds as U
 from leafscan.operators import search as Q
 from leafscan.operators import sections as S
 from leafscan.plans.base import BM25_SQL, PAGES_SQL, R3, TREE_SQL
-from leafscan.plans.base import bench_queries, falls_on, line_pages, markdown_index, query, r3, table
+from leafscan.plans.base import bench_queries, falls_on, line_pages, markdown_index, markdown_search, query, r3, table
 from leafscan.plans.evaluate import ORDERS_SQL, order_pages
 from leafscan.plans.search import TOP_SQL
 
@@ -81,9 +81,22 @@ def f11(spark, d):
     return S.resolve_sections(real.unionByName(fake), rows, fallback).select("qid", "doc_id", "section_id", "section_rank")
 
 
+CONTEXT_SQL = """
+ub AS (SELECT page_id FROM (SELECT page_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s, trim(regexp_replace(array_to_string(path, ' > '), '\\s+', ' ', 'g')) AS h FROM pgs)
+  WHERE length(s) >= 20 AND NOT (h <> '' AND ends_with(h, s))),
+sp AS (SELECT sel.qid, sel.doc_id, section_rank, lnk.page_id, page_no FROM sel JOIN lnk ON lnk.section_id = sel.section_id JOIN ub ON ub.page_id = lnk.page_id),
+t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY page_no) AS n FROM sp WHERE section_rank = 1) WHERE n <= 3),
+t2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY page_no) AS n FROM sp WHERE section_rank = 2 AND (qid, page_id) NOT IN (SELECT (qid, page_id) FROM t1)) WHERE n <= 3),
+t3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY page_no) AS n FROM sp WHERE section_rank = 3
+  AND (qid, page_id) NOT IN (SELECT (qid, page_id) FROM t1) AND (qid, page_id) NOT IN (SELECT (qid, page_id) FROM t2)) WHERE n <= 3),
+ctx AS (SELECT * FROM (SELECT qid, doc_id, page_id, page_no, section_rank, row_number() OVER (PARTITION BY qid, doc_id ORDER BY section_rank, page_no) AS context_no
+  FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)) WHERE context_no <= 6)"""
+WORDS = "regexp_extract_all(lower({0}), '[A-Za-z0-9_.%-]+')"
+
+
 @query(
     "f12_section_search",
-    f"""WITH {TREE_SQL}, {REQ_SQL}, qt AS (SELECT 'q' || item_id AS qid, CASE WHEN item_id % 4 = 3 THEN 'fr' ELSE 'en' END AS domain, tok, least(count(*), 3) AS qtf FROM (
+    f"""WITH {TREE_SQL}, {REQ_SQL}, {CONTEXT_SQL}, qt AS (SELECT 'q' || item_id AS qid, CASE WHEN item_id % 4 = 3 THEN 'fr' ELSE 'en' END AS domain, tok, least(count(*), 3) AS qtf FROM (
       SELECT item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_.%-]+')) AS tok FROM benchmark) GROUP BY ALL),
     ptok AS (SELECT domain, doc_id, page_id, page_no, regexp_extract_all(lower(text), '[A-Za-z0-9_.%-]+') AS toks FROM pgs),
     corpus AS (SELECT domain, count(*) AS n, avg(len(toks)) AS avgdl FROM ptok GROUP BY domain),
@@ -92,21 +105,28 @@ def f11(spark, d):
     bm AS (SELECT qt.qid, post.doc_id, post.page_id, post.page_no, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * qtf) AS score
       FROM qt JOIN post ON qt.domain = post.domain AND qt.tok = post.tok JOIN dfs ON dfs.domain = post.domain AND dfs.tok = post.tok JOIN corpus ON corpus.domain = post.domain
       JOIN req ON req.qid = qt.qid AND req.doc_id = post.doc_id GROUP BY ALL),
-    ins AS (SELECT DISTINCT qid, lnk.doc_id, page_id FROM sel JOIN lnk ON lnk.section_id = sel.section_id),
-    h AS (SELECT bm.qid, bm.doc_id, bm.page_id, score, row_number() OVER (PARTITION BY bm.qid, bm.doc_id ORDER BY round(score, 6) DESC, page_no) AS rank
-      FROM bm JOIN ins ON ins.qid = bm.qid AND ins.page_id = bm.page_id)
-    SELECT qid, doc_id, page_id, {R3.format('round(score, 6)')} AS score, rank FROM h WHERE rank <= 4""",
+    hp AS (SELECT doc_id, array_to_string(path, ' > ') AS section_id, page_id, page_no, text, row_number() OVER (PARTITION BY doc_id, path ORDER BY page_no) AS n FROM pgs),
+    hs AS (SELECT doc_id, section_id, min(page_no) AS toc_no, string_agg(substr(text, 1, 300), chr(10) ORDER BY n) FILTER (n <= 3) AS sample FROM hp GROUP BY ALL),
+    ht AS (SELECT DISTINCT doc_id, section_id, toc_no, unnest({WORDS.format('section_id')}) AS tok, 3.0 AS w FROM hs UNION ALL SELECT DISTINCT doc_id, section_id, toc_no, unnest({WORDS.format('sample')}), 1.0 FROM hs),
+    s3 AS (SELECT req.qid, req.doc_id, section_id, toc_no, sum(w) AS score FROM req JOIN ht ON ht.doc_id = req.doc_id JOIN qtk ON qtk.qid = req.qid AND qtk.tok = ht.tok GROUP BY ALL),
+    c3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, toc_no) AS r FROM s3) WHERE r <= 3),
+    ins AS (SELECT DISTINCT 1 AS tier, qid, lnk.page_id FROM sel JOIN lnk ON lnk.section_id = sel.section_id
+      UNION ALL SELECT DISTINCT 3, qid, page_id FROM c3 JOIN hp ON hp.doc_id = c3.doc_id AND hp.section_id = c3.section_id UNION ALL SELECT 4, qid, page_id FROM bm),
+    hits AS (SELECT * FROM (SELECT bm.qid, bm.doc_id, bm.page_id, tier, score, row_number() OVER (PARTITION BY bm.qid, bm.doc_id, tier ORDER BY round(score, 6) DESC, page_no) AS rank
+      FROM bm JOIN ins ON ins.qid = bm.qid AND ins.page_id = bm.page_id) WHERE rank <= 4),
+    o AS (SELECT * FROM hits UNION ALL SELECT qid, doc_id, page_id, 1, 0.0, context_no + 4 FROM ctx),
+    w AS (SELECT *, min(tier) OVER (PARTITION BY qid, doc_id) AS best FROM o),
+    u AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, page_id ORDER BY rank) AS dup FROM w WHERE tier = best)
+    SELECT qid, doc_id, page_id, CAST(tier AS BIGINT) AS tier, {R3.format('round(score, 6)')} AS score, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS rank FROM u WHERE dup = 1""",
 )
 def f12(spark, d):
-    """Hits of the first tier."""
+    """Hits and context pages of the tier that answers each (query, document)."""
     ix, rows, bridge = tree(spark, d)
-    pages = ix["pages"].withColumn("index_text", F.col("text"))
-    sections = rows.withColumn("preview", F.lit(""))
-    found = S.section_search(section_requests(spark, d, ix), pages, sections, bridge)
-    return found.filter("tier = 1 AND score > 0").select("qid", "doc_id", "page_id", r3(F.round("score", 6)).alias("score"), "rank")
+    found = S.section_search(section_requests(spark, d, ix), markdown_search(spark, d), rows.withColumn("preview", F.lit("")), bridge)
+    return found.select("qid", "doc_id", "page_id", "tier", r3(F.round("score", 6)).alias("score"), "rank")
 
 
-@query("f13_section_context")
+@query("f13_section_context", f"WITH {TREE_SQL}, {REQ_SQL}, {CONTEXT_SQL} SELECT qid, doc_id, context_no, page_id, page_no, section_rank FROM ctx")
 def f13(spark, d):
     ix, rows, bridge = tree(spark, d)
     chosen = S.select_sections(S.section_score(section_requests(spark, d, ix), rows))
@@ -376,7 +396,12 @@ def d11(spark, d):
     return V.reference_targets(e).select("qid", "target", "target_no")
 
 
-@query("d12_referenced_slots")
+@query(
+    "d12_referenced_slots",
+    f"""WITH {CONTRACT_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord DESC) AS b FROM ce),
+    t AS (SELECT qid, '附表' || (page_no % 4 + 1) AS target, min(ord) AS ord, arg_min(id, ord) AS evidence_id FROM l WHERE b <= 12 GROUP BY ALL)
+    SELECT qid, '给付比例' AS slot, target, evidence_id, qid AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY ord) AS slot_no FROM t""",
+)
 def d12(spark, d):
     e = contract_evidence(spark, d).withColumn("text", F.concat(F.lit("给付比例"), F.regexp_extract("text", "详见.*?。", 0)))
     return V.referenced_slots(e)
@@ -471,14 +496,21 @@ def f38(spark, d):
     third = F.substring("qid", 2, 20).cast("int") % 3
     plans = queries.filter(third == 0).select("qid", F.lit(1).alias("ord"), F.lit("违约金 支付").alias("query"), F.col("qid").alias("doc_id"))
     slots = queries.filter(third <= 1).select("qid", F.lit(1).alias("ord"), "slot", F.lit("").alias("expected"), F.array(F.lit("违约金比例"), F.lit("账期 天")).alias("queries"))
-    return V.initial_round(options, plans, slots, docs, pages).select("qid", "ord", "evidence_id", "source")
+    return U.initial(options, plans, slots, docs, pages).select("qid", "ord", "evidence_id", "source")
 
 
 @query("f39_followup_round")
 def f39(spark, d):
+    """Missing slots of every customer name the next one, whose notes are searched too; a quarter of the query texts was tried before."""
     pages, docs, queries, options = round_inputs(spark, d)
-    missing = queries.join(options.select("qid", "domain"), "qid").select("qid", "domain", "slot", "query", "key_terms")
-    return V.followup_round(missing, docs, pages).select("qid", "rank", "evidence_id", "source", F.round("slot_score", 3).alias("slot_score"))
+    file_marks = lambda k: F.format_string("K%07d L%07d M%07d", k, k, k)
+    number = F.substring("qid", 2, 20).cast("int")
+    asked = F.concat_ws(" ", "query", file_marks(number + 1))
+    missing = queries.join(options.select("qid", "domain"), "qid").select("qid", "domain", "slot", asked.alias("query"), "key_terms")
+    tried = missing.filter(number % 4 == 0).select("qid", X.stable_id(F.col("query"), 12).alias("query_key"))
+    own = queries.select(F.col("qid").alias("doc_id"), file_marks(number).alias("profile"))
+    found = U.followup(missing, docs, pages, own, tried)
+    return found.select("qid", "slot", "ord", "evidence_id", "source", F.round("slot_score", 3).alias("slot_score"))
 
 
 @query("f40_repair_round")

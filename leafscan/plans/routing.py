@@ -125,23 +125,34 @@ def g1(spark, d):
     return R.infer_domain(q).select("qid", "domain")
 
 
-@query(
-    "g6_prefilter",
-    f"""WITH {PROFILE_SQL}, qi AS (SELECT qid AS id, query AS text FROM rq), pi AS (SELECT doc_id AS id, profile AS text FROM prof), {tokens_sql('qi', 'qtk')}, {tokens_sql('pi', 'ptk')},
+PREFILTER_SQL = f"""qi AS (SELECT qid AS id, query AS text FROM rq), pi AS (SELECT doc_id AS id, profile AS text FROM prof), {tokens_sql('qi', 'qtk')}, {tokens_sql('pi', 'ptk')},
     hint AS (SELECT * FROM qtk WHERE NOT regexp_matches(tok, '^(?:19|20)[0-9]{{2}}年?$') AND NOT regexp_matches(tok, '^[0-9.%-]+$') AND length(tok) > 1
       AND NOT regexp_matches(tok, '^[a-z]{{1,3}}$') AND regexp_matches(tok, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z]')),
     sh AS (SELECT rq.qid, prof.doc_id, count(*) AS n FROM hint JOIN rq ON rq.qid = hint.id JOIN ptk ON ptk.tok = hint.tok JOIN prof ON prof.doc_id = ptk.id AND prof.domain = rq.domain GROUP BY ALL),
     ti AS (SELECT DISTINCT rq.qid, prof.doc_id FROM rq JOIN prof ON prof.domain = rq.domain JOIN hint ON hint.id = rq.qid AND contains(title || ' ' || path, hint.tok)),
     s AS (SELECT rq.qid, prof.doc_id, coalesce(n, 0) + CASE WHEN contains(profile, {SIGN.format('k + 5')}) THEN 20 ELSE 0 END + CASE WHEN contains(profile, '余额' || k) THEN 8 ELSE 0 END
       + CASE WHEN contains(profile, '余额') THEN 3 ELSE 0 END + CASE WHEN ti.qid IS NOT NULL THEN 2 ELSE 0 END AS score
-      FROM rq JOIN prof ON prof.domain = rq.domain LEFT JOIN sh ON sh.qid = rq.qid AND sh.doc_id = prof.doc_id LEFT JOIN ti ON ti.qid = rq.qid AND ti.doc_id = prof.doc_id)
-    SELECT qid, doc_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 6""",
-)
+      FROM rq JOIN prof ON prof.domain = rq.domain LEFT JOIN sh ON sh.qid = rq.qid AND sh.doc_id = prof.doc_id LEFT JOIN ti ON ti.qid = rq.qid AND ti.doc_id = prof.doc_id),
+    pf AS (SELECT qid, doc_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 6)"""
+
+
+@query("g6_prefilter", f"WITH {PROFILE_SQL}, {PREFILTER_SQL} SELECT qid, doc_id, score, rank FROM pf")
 def g6(spark, d):
     return R.prefilter(supplier_questions(spark, d), profiles(spark, d)).select("qid", "doc_id", "score", "rank")
 
 
-@query("g5_choose_docs")
+@query(
+    "g5_choose_docs",
+    f"""WITH {ROUTE_SQL}, {PREFILTER_SQL},
+    sh4 AS (SELECT qid, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b FROM cs GROUP BY qid),
+    strong AS (SELECT qid FROM sh4 WHERE a >= 24 AND (b IS NULL OR a >= greatest(b + 10, b * 1.8))),
+    tiers AS (SELECT qid, doc_id, 1 AS tier, rank AS place FROM cs WHERE CAST(substr(qid, 2) AS BIGINT) % 3 = 0 AND rank <= 2
+      UNION ALL SELECT cs.qid, cs.doc_id, 2, row_number() OVER (PARTITION BY cs.qid ORDER BY cs.rank) FROM cs JOIN rq ON rq.qid = cs.qid AND rq.domain = cs.domain WHERE cs.qid IN (SELECT qid FROM strong)
+      UNION ALL SELECT qid, doc_id, 3, rank FROM pf WHERE qid IN (SELECT qid FROM pf GROUP BY qid HAVING count(*) > 2)),
+    best AS (SELECT *, min(tier) OVER (PARTITION BY qid) AS b FROM tiers)
+    SELECT qid, doc_id, CAST(tier AS BIGINT) AS tier, place, 'document' AS scope FROM best WHERE tier = b
+    UNION ALL SELECT qid, NULL, 4, 1, 'domain' FROM rq WHERE qid NOT IN (SELECT qid FROM tiers)""",
+)
 def g5(spark, d):
     """A third of the questions prefers documents; the others take catalog hits, the prefilter or the domain."""
     q, p = supplier_questions(spark, d), profiles(spark, d)

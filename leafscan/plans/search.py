@@ -9,7 +9,8 @@ from leafscan.operators import index as I
 from leafscan.operators import search as Q
 from leafscan.operators import segment as S
 from leafscan.plans.base import BM25_SQL, PAGES_SQL, QUERIES_SQL, R3, TREE_SQL
-from leafscan.plans.base import bench_queries, falls_on, line_pages, markdown_docs, markdown_index, markdown_outline, query, r3, table
+from leafscan.plans.base import OWN_BM25_SQL, OWN_REQUESTS_SQL, own_requests
+from leafscan.plans.base import bench_queries, line_index, line_pages, markdown_docs, markdown_index, markdown_outline, query, r3, table
 
 SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
@@ -93,7 +94,7 @@ def f1(spark, d):
     f"WITH {BM25_SQL} SELECT domain, page_id, term, tf, dl FROM post",
 )
 def e10_postings(spark, d):
-    return I.bm25_index(line_pages(spark, d))["postings"].select("domain", "page_id", "term", "tf", "dl")
+    return line_index(spark, d).postings.select("domain", "page_id", "term", "tf", "dl")
 
 
 @query(
@@ -102,27 +103,24 @@ def e10_postings(spark, d):
     FROM dfs JOIN corpus ON corpus.domain = dfs.domain""",
 )
 def e10_terms(spark, d):
-    terms = I.bm25_index(line_pages(spark, d))["term_stats"]
-    return terms.select("domain", "term", "df", F.round("idf", 6).alias("idf"))
+    index = line_index(spark, d)
+    return index.terms.join(index.corpus, "domain").select("domain", "term", "df", F.round(I.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query("e10_corpus_stats", f"WITH {BM25_SQL} SELECT domain, n, round(avgdl, 6) AS avgdl FROM corpus")
 def e10_corpus(spark, d):
-    return I.bm25_index(line_pages(spark, d))["corpus_stats"].select("domain", "n", F.round("avgdl", 6).alias("avgdl"))
+    return line_index(spark, d).corpus.select("domain", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(
     "f2_bm25_scores",
-    f"""WITH {BM25_SQL}, allowed AS (SELECT qid, doc_id FROM qs JOIN (SELECT DISTINCT doc_id, domain FROM pg) p
-      ON p.domain = qs.domain AND 'q' || (CAST(substr(p.doc_id, 2) AS BIGINT) % (SELECT max(item_id) + 1 FROM benchmark)) = qs.qid)
+    f"""WITH {OWN_BM25_SQL}, allowed AS ({OWN_REQUESTS_SQL})
     SELECT bm.qid, bm.page_id, round(score, 3) AS score FROM bm JOIN allowed a ON a.qid = bm.qid AND a.doc_id = bm.doc_id""",
 )
 def f2(spark, d):
     """Scores under a document filter: statistics still cover the whole domain."""
-    queries, pages = bench_queries(spark, d), line_pages(spark, d)
-    docs = pages.select("doc_id", "domain").distinct()
-    allowed = docs.withColumn("qid", falls_on(spark, d, F.substring("doc_id", 2, 20).cast("bigint"))).join(queries.select("qid", "domain"), ["qid", "domain"])
-    return Q.bm25(queries, pages, allowed).select("qid", "page_id", F.round("score", 3).alias("score"))
+    requests = own_requests(spark, d)
+    return Q.bm25(requests.select("qid", "domain", "query").distinct(), line_index(spark, d), requests).select("qid", "page_id", F.round("score", 3).alias("score"))
 
 
 TOP_SQL = """top AS (
@@ -137,7 +135,7 @@ TOP_SQL = """top AS (
     FROM top JOIN (SELECT *, {SQUEEZE.format('text')} AS s FROM pg) pg ON pg.page_id = top.page_id WHERE rank <= 5""",
 )
 def f3(spark, d):
-    return Q.search_pages(bench_queries(spark, d), line_pages(spark, d), k=5, quote=200)
+    return Q.search_pages(bench_queries(spark, d), line_index(spark, d), k=5, quote=200)
 
 
 LINE_CATALOG_SQL = f"""
@@ -205,7 +203,7 @@ def f6(spark, d):
       rank FROM ranked r JOIN cat ON cat.doc_id = r.doc_id WHERE rank <= 5""",
 )
 def f4(spark, d):
-    return Q.search_docs(bench_queries(spark, d), line_pages(spark, d), line_catalog(spark, d), k=5)
+    return Q.search_docs(bench_queries(spark, d), line_index(spark, d), line_catalog(spark, d), k=5)
 
 
 @query(
@@ -228,17 +226,13 @@ def f5(spark, d):
 
 @query(
     "f7_retrieve_multi",
-    f"""WITH {BM25_SQL}, req AS (SELECT qid, qs.domain, p.doc_id FROM qs JOIN (SELECT DISTINCT doc_id, domain FROM pg) p
-      ON p.domain = qs.domain AND 'q' || (CAST(substr(p.doc_id, 2) AS BIGINT) % (SELECT max(item_id) + 1 FROM benchmark)) = qid),
+    f"""WITH {OWN_BM25_SQL}, req AS ({OWN_REQUESTS_SQL}),
     r AS (SELECT bm.*, row_number() OVER (PARTITION BY bm.qid, bm.doc_id ORDER BY round(score, 6) DESC, page_no) AS rank
       FROM bm JOIN req ON req.qid = bm.qid AND req.doc_id = bm.doc_id)
     SELECT qid, page_id AS evidence_id, doc_id, {R3.format('round(score, 6)')} AS score, rank FROM r WHERE rank <= 2""",
 )
 def f7(spark, d):
-    queries, pages = bench_queries(spark, d), line_pages(spark, d)
-    docs = pages.select("doc_id", "domain").distinct()
-    requests = queries.join(docs.withColumn("qid", falls_on(spark, d, F.substring("doc_id", 2, 20).cast("bigint"))), ["qid", "domain"])
-    return Q.retrieve_multi(requests, pages, 2, "initial").select(
+    return Q.retrieve_multi(own_requests(spark, d), line_index(spark, d), 2, "initial").select(
         "qid", "evidence_id", "doc_id", r3("score").alias("score"), "rank"
     )
 

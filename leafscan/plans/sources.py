@@ -233,7 +233,24 @@ def c6(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(S.pack(X.squeeze("text"))).alias("part_index", "part"))
 
 
-@query("c6_pack_paragraphs")
+BLANK_LINE, EDGE = r"\n\s*\n", r"^\s+|\s+$"
+
+
+@query(
+    "c6_pack_paragraphs",
+    f"""WITH RECURSIVE src AS (SELECT doc_id, regexp_replace(text, '\\. ', '.' || chr(10) || chr(10), 'g') AS t FROM documents),
+    raw AS (SELECT doc_id, unnest(string_split_regex(t, '{BLANK_LINE}')) AS x, generate_subscripts(string_split_regex(t, '{BLANK_LINE}'), 1) AS pos FROM src WHERE length(t) > 1800),
+    par AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, regexp_replace(x, '{EDGE}', '', 'g') AS p FROM raw WHERE regexp_replace(x, '{EDGE}', '', 'g') <> ''),
+    off AS (SELECT *, length(p) AS len, sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 2 AS st, count(*) OVER (PARTITION BY doc_id) AS n FROM par),
+    nxt AS (SELECT a.doc_id, a.i, coalesce(min(b.i), any_value(a.n)) AS nx FROM off a LEFT JOIN off b ON b.doc_id = a.doc_id AND b.i > a.i AND b.st + b.len > a.st + 1800 GROUP BY a.doc_id, a.i),
+    orbit AS (SELECT doc_id, i, nx FROM nxt WHERE i = 0 UNION ALL SELECT x.doc_id, x.i, x.nx FROM orbit o JOIN nxt x ON x.doc_id = o.doc_id AND x.i = o.nx),
+    parts AS (SELECT o.doc_id, o.i, 0 AS st, string_agg(f.p, chr(10) || chr(10) ORDER BY f.i) AS part FROM orbit o JOIN off f ON f.doc_id = o.doc_id AND f.i >= o.i AND f.i < o.nx
+      GROUP BY o.doc_id, o.i HAVING max(f.len) <= 1800
+      UNION ALL SELECT doc_id, i, st, substr(p, CAST(st + 1 AS BIGINT), 1800) FROM (
+        SELECT o.doc_id, o.i, f.p, unnest(range(0, greatest(f.len - 160, 1), 1640)) AS st FROM orbit o JOIN off f ON f.doc_id = o.doc_id AND f.i = o.i WHERE f.len > 1800))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, st) - 1 AS part_index, part FROM parts
+    UNION ALL SELECT doc_id, 0, t FROM src WHERE length(t) <= 1800""",
+)
 def c6_paragraphs(spark, d):
     """Every sentence a paragraph: parts are packed greedily."""
     text = F.regexp_replace("text", r"\. ", ".\n\n")

@@ -22,6 +22,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # GB18030 is needed to undo mojibake; Spark 4 only allows it behind this flag.
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # State of streams on disk, as arbitrary stateful operators need it.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return spark
 
 

@@ -256,7 +256,7 @@ def test_computed_ratio(spark):
 
 def test_followup_keeps_slots_apart(spark):
     pages = spark.createDataFrame(
-        [("d1", "x", "d1_lp_0001", 1, ["h"], "违约金比例为 3% 按日计收"), ("d1", "x", "d1_lp_0002", 2, ["h"], "账期为 30 天 到期付款")],
+        [("d1", "x", "d1_lp_0001", 1, ["h"], "违约金比例为 3% 按日计收"), ("d1", "x", "d1_lp_0002", 2, ["h"], "账期 30 天 到期付款")],
         "doc_id string, domain string, page_id string, page_no int, heading_path array<string>, text string",
     ).withColumn("index_text", F.col("text")).withColumn("title", F.lit("t"))
     missing = spark.createDataFrame(
