@@ -30,6 +30,9 @@ def main() -> None:
     start = time.time()
     base.markdown_index(spark, sf_dir)
     times["index_build"] = round(time.time() - start, 3)
+    start = time.time()
+    base.line_index(spark, sf_dir)
+    times["search_index_build"] = round(time.time() - start, 3)
     for name in wanted:
         start = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

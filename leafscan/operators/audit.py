@@ -102,6 +102,10 @@ def filter_facts(filled: DataFrame, variant: str = "src") -> DataFrame:
     )
 
 
+# Wording before a number that the text does not state itself.
+NOT_STATED = ("详见", "参见", "未给出", "未知", "需从", "需要")
+
+
 def reference_missing(evidence: DataFrame, filled: DataFrame, missing: DataFrame) -> DataFrame:
     """H3: slots a text refers to a table for, without a concrete value in evidence or filled slots."""
     refs = V.referenced_slots(evidence)
@@ -119,14 +123,14 @@ def reference_missing(evidence: DataFrame, filled: DataFrame, missing: DataFrame
             refers = t.rlike(r"(?:详见|参见|见)[^。；;\n]{0,30}(?:表|附表|计划表)")
             # what stands before the number that ends the first match of the value pattern
             lead = F.substring(t, F.lit(1), F.greatest(F.regexp_instr(t, F.lit(value)) - 1, F.lit(0)))
-            return ~refers & t.rlike(value) & ~any_of(lead, ("详见", "参见", "未给出", "未知", "需从", "需要"))
+            return ~refers & t.rlike(value) & ~any_of(lead, NOT_STATED)
 
         return (key != "") & F.exists(tails, good)
 
     known = pairs.filter(concrete(F.col("slot")) | concrete(F.col("short"))).select("qid", "slot").distinct()
     said = X.match_key(F.concat_ws("", "slot", "value"), "reference")
     sure = filled.filter(
-        ~any_of(X.repair(F.coalesce("value", F.lit(""))), ("假设", "未给出", "未知", "需从", "需要", "详见", "参见"))
+        ~any_of(X.repair(F.coalesce("value", F.lit(""))), ("假设", *NOT_STATED))
         & (F.size(F.filter(F.coalesce("evidence_ids", none()), lambda i: i != "")) > 0)
     ).select("qid", said.alias("said")).filter(F.col("said").rlike(r"\p{Nd}+(?:\.\p{Nd}+)?(?:%|元|万元|倍)"))
     told = refs.join(sure, "qid").filter(F.contains("said", F.col("slot"))).select("qid", "slot").distinct()
@@ -419,6 +423,8 @@ HARD_MISMATCH = ("与当前任务无关", "与该领域无关", "非当前领域
 MISMATCH = HARD_MISMATCH + ("与光通信领域无关", "不能支持", "未涉及", "未提供", "证据不足", "无法支持")
 ALLOCATION = ("按比例", "按占比", "占比例", "占比", "分摊", "分配", "应占比例")
 ALLOCATION_SUPPORT = ("按比例", "按占比", "占比例", "占比", "分摊", "分配", "依比例", "比例分配")
+# Wording of assumptions, and of the figures that are assumed.
+ASSUMED, ASSUMED_FIGURES = ("假设", "未给出", "未知", "需从", "需要补充"), ("比例", "费率", "金额", "赔付", "给付", "责任项")
 FACTS = "array<struct<slot:string,value:string>>"
 
 
@@ -442,7 +448,7 @@ def is_document_task(task: Column, facts: Column) -> Column:
 def unsupported_assumption(text: Column, support: Column) -> Column:
     """An allocation nothing supports, or an assumed ratio, rate or amount."""
     allocated = any_of(text, ALLOCATION) & ~any_of(support, ALLOCATION_SUPPORT)
-    assumed = any_of(text, ("假设", "未给出", "未知", "需从", "需要补充")) & any_of(text, ("比例", "费率", "金额", "赔付", "给付", "责任项"))
+    assumed = any_of(text, ASSUMED) & any_of(text, ASSUMED_FIGURES)
     return allocated | assumed
 
 
@@ -522,12 +528,16 @@ def normalize_plan(plans: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+# Wording of questions that ask for several facts at once.
+ASKS_SEVERAL = ("同时", "是否都", "是否均", "均", "都", "分别是否", "都带来", "均带来")
+
+
 def merge_relation_tasks(tasks: DataFrame, questions: DataFrame) -> DataFrame:
     """Retrieval tasks of one entity and document set become one, where the question asks for several facts at once.
 
     ``tasks(qid, pos, task, task_type, target_doc_ids, entity, search_slots)``, ``questions(qid, question)``.
     """
-    asks = any_of(X.repair("question"), ("同时", "是否都", "是否均", "均", "都", "分别是否", "都带来", "均带来"))
+    asks = any_of(X.repair("question"), ASKS_SEVERAL)
     rows = tasks.join(questions.select("qid", asks.alias("asks")), "qid")
     retrieve = F.col("task_type") != "summarize"
     per_entity = rows.filter(retrieve & (F.col("entity") != "")).groupBy("qid", "entity").agg(F.count("*").alias("n")).filter("n >= 2")

@@ -22,10 +22,9 @@ def duck():
 
 # Iterative or free-text rules that SQL cannot say; their operators have tests of their own in test_jobs and test_text.
 ROWS_ONLY = set(
-    "b4_html_text c3_split_legal c5_split_corpus c6_pack_paragraphs c8_subsplit c9_inner_split d7_entities d12_referenced_slots f13_section_context "
-    "f15_expand_pointers f16_hint_search f23_local_subsearch f24_inner_focus f25_focus f26_evidence_notes f29_reference_followup f38_initial_round "
-    "f39_followup_round f40_repair_round g3_chat_route g5_choose_docs g7_doc_hints g8_reroute h3_reference_missing h6_complete_slots k5_task_cases "
-    "k7_to_messages".split()
+    "b4_html_text c3_split_legal c5_split_corpus c8_subsplit c9_inner_split d7_entities f15_expand_pointers f16_hint_search f23_local_subsearch "
+    "f24_inner_focus f25_focus f26_evidence_notes f29_reference_followup f38_initial_round f39_followup_round f40_repair_round g3_chat_route "
+    "g7_doc_hints g8_reroute k5_task_cases".split()
 )
 
 
