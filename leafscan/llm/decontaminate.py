@@ -187,7 +187,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", order:
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any word in common windows with an item; columns as given."""
+    """The documents without any word in common windows with an item; columns as given.
+
+    Null and empty texts have no words and stay, as do all documents if the
+    benchmark is empty. Every row is judged by its own text, so repeated rows
+    stay or go together; ids and other columns, whatever their names, are not
+    read. An empty table gives no rows.
+    """
     found = hits(docs, items).filter("n_hit > 0").select("key")
     rows = packed(docs, key=F.sha2(clean(F.col("text")), 256))
     return unpacked(rows.join(small(keep(found, "hit-texts")), "key", "left_anti"), docs.columns)
