@@ -20,8 +20,8 @@ from leafscan.session import small
 UNKNOWN = "und"
 # Bounds of the fitted model; documented parameters of ``fit``.
 SAMPLE_PER_LANG = 4_000  # labelled rows per language, about
-MAX_WORDS = 20_000  # per language
-MAX_GRAMS = 20_000  # per language
+MAX_WORDS = 15_000  # per language
+MAX_GRAMS = 15_000  # per language
 MAX_GRAM = 5
 WORD = r"\p{L}+"
 MEMO_ENTRIES = 100_000
@@ -209,6 +209,12 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", order:
 
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised with a score of ``least`` or more; columns as given."""
+    """The documents whose language is recognised with a score of ``least`` or more; columns as given.
+
+    Null texts and texts without a letter go, as does everything if no row has
+    a language to learn from. Every row is judged by its own text, so repeated
+    rows stay or go together. An empty table gives no rows; other columns,
+    whatever their names, come along.
+    """
     scored = predict(docs, fit(docs))
     return unpacked(scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)
