@@ -15,19 +15,18 @@ STEPS = 30  # of the bisection
 SLICES = 4096  # equal slices of a permutation; only the slice where the budget ends is ordered row by row
 
 
-# Scripts that are written without blanks between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+# Blocks of the scripts that are written without blanks: Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = r"[\u0E01-\u0EDF\u1000-\u109F\u1780-\u17DD\u3041-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}]"
 
 
 def word_tokens(text: Column) -> Column:
     """Words separated by white space, and each letter of a script without blanks; 0 for null.
 
-    A word that holds such letters counts by its letters, and once more for what else it holds.
+    A word that holds such letters counts by its letters, and once more for each part between them.
     """
-    whole = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    letters = F.regexp_count(text, F.lit(UNSPACED))
-    rest = F.size(F.filter(F.split(F.regexp_replace(text, UNSPACED, " "), r"\s+"), lambda w: w != ""))
-    n = F.when(F.octet_length(text) == F.length(text), whole).otherwise(letters + rest)
+    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    unspaced = (F.octet_length(text) != F.length(text)) & text.rlike(UNSPACED)
+    n = F.when(unspaced, F.regexp_count(text, F.lit(UNSPACED)) + words(F.regexp_replace(text, UNSPACED, " "))).otherwise(words(text))
     return F.coalesce(n.cast("long"), F.lit(0).cast("long"))
 
 
@@ -155,6 +154,12 @@ def mix(docs: DataFrame, max_repeats: float | None = None, target_entropy: float
 
 
 def remixed(docs: DataFrame, max_repeats: float, seed: int = 1) -> DataFrame:
-    """``docs`` mixed, every document at least once, columns as given."""
+    """``docs`` mixed, every document at least once, columns as given.
+
+    Null texts have no tokens and are read as often as their source's whole
+    blocks; null sources are a source of their own; equal rows are drawn
+    together. An empty table gives no rows; other columns, whatever their
+    names, come along.
+    """
     drawn = mixed(docs, max_repeats=max_repeats, seed=seed)
     return drawn.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
