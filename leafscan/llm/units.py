@@ -89,7 +89,17 @@ class UnitEncoder:
         self.place: dict[bytes, int] = {}
         self.held = 0
         self.pool = np.zeros(0, np.uint32)
-        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.starts = self.lengths = self.uses = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the units that were used most, half as many as may be held; uses of long ago count less and less."""
+        kept = np.sort(np.argpartition(-self.uses, HELD_UNITS // 2)[: HELD_UNITS // 2])
+        names = list(self.place)
+        self.pool = gather(self.pool, self.starts[kept], self.lengths[kept])
+        self.lengths, self.uses = self.lengths[kept], self.uses[kept] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.held = sum(map(len, self.place))
 
     def learn(self, units: list[bytes]) -> None:
         found = self.encode_new(units)
@@ -98,6 +108,7 @@ class UnitEncoder:
         self.held += sum(map(len, units))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
         self.pool = np.concatenate([self.pool, *found]).astype(np.uint32, copy=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +129,15 @@ class UnitEncoder:
             buffers = [None, pa.py_buffer((edge - edge[0]).astype(np.int32)), pa.py_buffer(data[edge[0] : edge[-1]])]
             coded = pa.Array.from_buffers(pa.binary(), len(edge) - 1, buffers).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
-            if len(self.place) > HELD_UNITS or self.held > HELD_BYTES:
+            if len(self.place) > HELD_UNITS:
+                self.forget_rare()
+            if self.held > HELD_BYTES:
                 self.forget()
             new = [u for u in distinct if u not in self.place]
             if new:
                 self.learn(new)
             unit = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            self.uses += np.bincount(unit, minlength=len(self.uses))
             counts[k : k + len(unit)] = self.lengths[unit]
             ids.append(gather(self.pool, self.starts[unit], self.lengths[unit]))
         before = np.concatenate([[0], np.cumsum(counts)])
