@@ -155,3 +155,39 @@ def test_invalid_bytes_go_and_replacement_characters_stay(spark):
     raw = [b"a\xef\xbf\xbdb", b"a\xffb\xe4\xb8", "é漢".encode()]
     got = spark.createDataFrame([(x,) for x in raw], "c binary").select(X.without_invalid(F.col("c").cast("string")).alias("t")).collect()
     assert [r["t"] for r in got] == [x.decode(errors="ignore") for x in raw]
+
+
+def test_contains_join_over_lengths_and_pieces(spark):
+    """Terms of every piece length, in texts longer than a piece; a term with a substring no text holds is never looked up."""
+    words = ["q", "qz", "qzx", "qzxw", "qzxwv", "qzxwvut", "qzxwvuts", "qzxwvutsr", "qzxwvutsrabcdefgh", "abababab", "nowhere", "额qz", "余额"]
+    rows = [("a", "ab" * 300 + "qzxwvutsrabcdefgh" + "ab" * 300), ("b", "余额qzx" * 70), ("c", ""), ("d", None), ("e", "qzxwvut"), ("f", "x" * 255 + "qzxwvuts")]
+    texts, terms = spark.createDataFrame(rows, "k string, t string"), spark.createDataFrame([(w,) for w in words], "term string")
+    got = {(r["k"], r["term"]): r["hits"] for r in contains_join(texts, terms, ["k"], "t", []).collect()}
+    assert got == {(k, w): t.count(w) for k, t in rows if t for w in words if w in t}
+    assert grams_of(spark, "abc" * 200, 8) == {("abc" * 200)[i : i + 8] for i in range(593)}
+
+
+def grams_of(spark, text, n):
+    from leafscan.functions.containment import grams
+
+    return set(value(spark, lambda c: grams(c, F.array(F.lit(n))), text))
+
+
+def test_unhinted_sides_are_broadcast_by_measured_size(spark, tmp_path):
+    """A side that explodes is far larger than its file; only what a shuffle measured may reach the driver."""
+    from leafscan.plans import registry
+    from leafscan.session import configure
+
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    configure(spark)
+    assert spark.conf.get(limit) == "10MB"
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    registry.queries()["b3_compact_text"](spark, str(tmp_path))
+    try:
+        assert spark.conf.get(limit) == "-1"
+        few = spark.range(500).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("n"))
+        plan = spark.range(2_000_000).select(F.col("id").alias("k")).join(few, "k")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan
+    finally:
+        configure(spark)
+    assert spark.conf.get(limit) == "10MB"
