@@ -140,3 +140,13 @@ def test_empty_events(spark):
     events = spark.createDataFrame([], "user_id long, ts long, event_id long")
     assert U.quota(events).count() == 0
     assert U.lockout(events.withColumnRenamed("user_id", "username").withColumn("ok", F.lit(True))).count() == 0
+
+
+def test_corpus_counts_pages_without_tokens(spark, tmp_path):
+    """Lengths come from the postings: pages and whole domains without tokens still count, a null domain too."""
+    from leafscan.operators.stored_index import build_index
+
+    rows = [("a", "x", "p1", 1, "one two two"), ("a", "x", "p2", 2, "!!"), ("b", "y", "p3", 1, ""), (None, "z", "p4", 1, "one")]
+    pages = spark.createDataFrame(rows, "domain string, doc_id string, page_id string, page_no long, index_text string")
+    got = {r["domain"]: (r["n"], r["avgdl"]) for r in build_index(pages, str(tmp_path / "ix")).corpus.collect()}
+    assert got == {"a": (2, 1.5), "b": (1, 0.0), None: (1, 1.0)}
