@@ -191,3 +191,28 @@ def test_unhinted_sides_are_broadcast_by_measured_size(spark, tmp_path):
     finally:
         configure(spark)
     assert spark.conf.get(limit) == "10MB"
+
+
+def test_fast_white_space_rules_agree_with_the_class(spark):
+    """Trimming by characters, squeezing by rare runs and gated term lists give what the plain patterns give, at every code point."""
+    from leafscan.functions import extract as E
+
+    points = [chr(i) for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000]
+    texts = [f"{c}a{c}{c}b {c} c{c}" for c in points] + ["", " ", "\n ", "5　%", "三分之二", "第3条", "2020年5月1日 40万元", "12 %", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain_strip = F.regexp_replace("t", f"^[{X.WS}]+|[{X.WS}]+$", "")
+    runs = F.regexp_replace("t", f"[{X.WS}]+", " ")
+    rows = df.select(
+        "t", X.strip("t").alias("strip"), plain_strip.alias("strip0"), X.squeeze("t").alias("squeeze"),
+        F.regexp_replace(runs, f"^[{X.WS}]+|[{X.WS}]+$", "").alias("squeeze0"),
+        E.page_terms("t")["numbers"].alias("numbers"), F.array_sort(F.array_distinct(E.find_all("t", E.NUMBER))).alias("numbers0"),
+        E.page_terms("t")["dates"].alias("dates"), F.array_sort(F.array_distinct(E.find_all("t", E.DATE))).alias("dates0"),
+    ).collect()
+    for r in rows:
+        assert (r.strip, r.squeeze, r.numbers, r.dates) == (r.strip0, r.squeeze0, r.numbers0, r.dates0), ascii(r.t)
+
+
+def test_normalising_keeps_its_rules_behind_their_gates(spark):
+    text = "﻿a <!-- x\ny --> b \t\r\nc d　\n\n\n\ne ![i](u) f\n<DETAILS> <summary> s </summary> z </details>"
+    got = spark.createDataFrame([(text,)], "t string").select(X.normalize_text("t").alias("n")).first().n
+    assert got == "a  b\nc\nd\n\ne  f\n\n[details: s]\nz"
