@@ -94,3 +94,18 @@ def test_equal_hints_of_a_document_look_once(spark, monkeypatch):
     assert kept[0].count() == 4  # five hints, two of them with one key
     assert found["q1"] == found["q2"] and [t for _, t in found["q1"]] == [1, 1, 1]
     assert found["q3"] and {t for _, t in found["q3"]} == {3} and found["q5"] == [("p4", 2), ("p5", 2)] and "q4" not in found
+
+
+def test_sections_are_scored_without_a_row_per_token(spark):
+    """Token sets meet by document: no step makes a row of each token, and repeats count as often as before."""
+    sections, _, pages = headed(spark)
+    rows = [("q1", "d", "alpha two words"), ("q1", "d", "alpha two words"), ("q2", "d", "nothing here"), ("q3", None, "alpha"), ("q4", "d", None)]
+    requests = spark.createDataFrame(rows, "qid string, doc_id string, query string")
+    found = S.section_score(requests, sections)
+    assert {(r["qid"], r["section_id"]): r["score"] for r in found.collect()} == {("q1", "s1"): 8.0, ("q1", "s2"): 8.0, ("q1", "s3"): 16.0}
+    assert "explode(concat" not in optimized(found) and "explode(flatten" not in optimized(found)
+    groups = S.heading_sections(pages)
+    assert {r["section_id"]: (r["toc_no"], r["sample"].count("page")) for r in groups.collect()} == {"Alpha": (1, 3), "Other": (4, 2)}
+    lines = optimized(groups).splitlines()
+    window = next(i for i, line in enumerate(lines) if "Window " in line)
+    assert any("substring" in line for line in lines[window:])  # texts are cut before they are exchanged
