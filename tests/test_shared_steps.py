@@ -109,3 +109,42 @@ def test_sections_are_scored_without_a_row_per_token(spark):
     lines = optimized(groups).splitlines()
     window = next(i for i, line in enumerate(lines) if "Window " in line)
     assert any("substring" in line for line in lines[window:])  # texts are cut before they are exchanged
+
+
+def test_notes_are_rated_once_and_queries_read_once(spark):
+    evidence = spark.createDataFrame(
+        [("q", 1, "e1", "d", ["h"], "费用应当由客户支付。是的。违约金比例为3%，按合同。"), ("q", 2, "e2", "d", ["h"], None), ("q2", 1, "e3", "d", ["h"], "费用。")],
+        "qid string, ord int, evidence_id string, doc_id string, heading_path array<string>, text string",
+    )
+    tasks = spark.createDataFrame([("q", "是否约定违约金比例为3%的费用"), ("q2", None)], "qid string, query string")
+    found = V.evidence_notes(evidence, tasks)
+    notes = {(r["source_evidence_id"], r["note"]) for r in found.collect()}
+    assert {("e1", "费用应当由客户支付。"), ("e1", "违约金比例为3%，按合同。")} <= notes and "e2" not in {e for e, _ in notes}
+    plan = optimized(found)
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert not any("array_intersect" in line for line in filters)
+    lines = plan.splitlines()
+    joined = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    assert any("AS asked" in line for line in lines[joined:])  # what a query asks for is found before it meets its evidence
+
+
+def test_overlap_with_text_counts_what_token_sets_share(spark):
+    from leafscan.functions import text as X
+
+    texts = ["违约金比例为3%的营业收入", "违约 金比例", "abc 违约金 x.y 比例为", "违约金比例", "", None, "金", "ab 违约金\n比例a收入"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    both = pairs.select(X.overlap(X.token_set("a"), X.token_set("b")).alias("want"), X.overlap_with_text(X.token_set("a"), "b").alias("got"))
+    assert all(r["want"] == r["got"] for r in both.collect())
+
+
+def test_review_reads_the_query_before_it_meets_the_sources(spark):
+    sources = spark.createDataFrame(
+        [("q", i, f"e{i}", ["h"], t, False) for i, t in enumerate(["违约金比例为3%", "无关", "违约金", "合同违约金比例", None])] + [("x", 1, "e", ["h"], "无关", None)],
+        "qid string, ord int, evidence_id string, heading_path array<string>, text string, remembered boolean",
+    )
+    missing = spark.createDataFrame([("q", "违约金比例", ["违约金", None, ""])], "qid string, query string, key_terms array<string>")
+    found = V.review_sources(sources, missing)
+    assert [(r["qid"], r["evidence_id"], r["rank"]) for r in found.orderBy("qid", "rank").collect()] == [("q", "e0", 1), ("q", "e3", 2), ("q", "e2", 3), ("x", "e", 1)]
+    lines = optimized(found).splitlines()
+    joined = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    assert any("_words" in line and "regexp_extract_all" in line for line in lines[joined:])
