@@ -148,3 +148,14 @@ def test_review_reads_the_query_before_it_meets_the_sources(spark):
     lines = optimized(found).splitlines()
     joined = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
     assert any("_words" in line and "regexp_extract_all" in line for line in lines[joined:])
+
+
+def test_typed_terms_pass_the_rules_as_one_text(spark):
+    from leafscan.functions import extract as E
+
+    rows = spark.createDataFrame([(["查找2019-2020年的营业收入、成本率。确定2020年1-6月业务收入额", "多少钱 净利润率（2018至2019年度）公司产品"],)], "t array<string>")
+    plan = rows.select(E.typed_terms(F.col("t"), 30).alias("x"))
+    assert plan.first()["x"] == rows.select(E.typed_terms(F.col("t"), 30)).first()[0]
+    assert "2019-2020年" not in "".join(plan.first()["x"]) and not any("多少" in t for t in plan.first()["x"])
+    text = optimized(plan)
+    assert text.count("regexp_replace") <= 9 and "(?m)^" in text  # a rule for all terms, not one for each
