@@ -24,3 +24,22 @@ def test_few_words_are_picked_while_pages_are_cut(spark, monkeypatch):
             patch.setattr(Q, "NAMED_TERMS", 0)
             want = Q.bm25(asked, pages, some)
             assert "index_text" in optimized(want) and found(got) == found(want) and len(found(got)) >= 3
+
+
+def test_slots_are_cut_before_they_meet_their_evidence(spark):
+    texts = ["违约金比例为3%，研发 投入", "违约", "净资产", None, "违约金比例为3%，研发 投入", "1995年违约金 ab"]
+    evidence = spark.createDataFrame(
+        [("q", i, f"e{i}", ["合同"], t, 1.0) for i, t in enumerate(texts)] + [("q2", 1, "e9", None, "违约金", None), ("q3", 1, "e8", ["h"], "违约金", 0.0)],
+        "qid string, ord int, evidence_id string, heading_path array<string>, text string, score double",
+    )
+    slots = spark.createDataFrame(
+        [("q", "s", "1995年违约金比例3%", ["违约金", "研发 投入", None, "ab"]), ("q2", "违约金", None, None), ("q3", None, "", [])],
+        "qid string, slot string, query string, key_terms array<string>",
+    )
+    found = V.rerank_slot(evidence, slots)
+    scores = {r["evidence_id"]: round(r["slot_score"], 3) for r in found.collect()}
+    assert scores == {'e5': 23.4, 'e0': 21.4, 'e4': 21.4, 'e1': -3.5, 'e2': -5.0, 'e3': -5.0, 'e9': 5.2, 'e8': 0.0}
+    assert [r["evidence_id"] for r in V.rerank_slot(evidence, slots, 1).orderBy("qid").collect()] == ['e5', 'e9', 'e8']
+    lines = optimized(found).splitlines()
+    joined = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    assert any("_terms" in line and "regexp_extract_all" in line for line in lines[joined:])
