@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from leafscan.operators import evidence as V
 from leafscan.operators import search as Q
+from leafscan.operators import sections as S
 
 
 def optimized(df) -> str:
@@ -43,3 +44,21 @@ def test_slots_are_cut_before_they_meet_their_evidence(spark):
     lines = optimized(found).splitlines()
     joined = next(i for i, line in enumerate(lines) if "Join Inner" in line)
     assert any("_terms" in line and "regexp_extract_all" in line for line in lines[joined:])
+
+
+def test_hints_get_the_texts_of_pages_at_the_end(spark, monkeypatch):
+    sections = spark.createDataFrame([("d", "s1", 1, "Alpha", ["Alpha"], "")], "doc_id string, section_id string, toc_no int, title string, heading_path array<string>, preview string")
+    rows = [("m", "d", f"p{i}", i, "99", ["Alpha"] if i < 3 else ["Other"], f"alpha words of a page that is long enough {i}") for i in range(1, 6)]
+    rows += [rows[4], ("m", "d", None, 9, "99", ["Other"], None), ("m", "e", "p3", 3, "99", ["Else"], "other page of the same name")]
+    pages = spark.createDataFrame(rows, "domain string, doc_id string, page_id string, page_no int, title string, heading_path array<string>, text string")
+    pages = pages.withColumn("index_text", pages["text"])
+    bridge = spark.createDataFrame([("s1", "d", "p1", 1), ("s1", "d", "p2", 2)], "section_id string, doc_id string, page_id string, page_no int")
+    hints = spark.createDataFrame([("q1", "m", "d", "Other", ""), ("q2", "m", "d", "Alpha", "words"), ("q3", "m", "e", "zzqq", "page name")], "qid string, domain string, doc_id string, hint string, query string")
+    kept, real = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: kept.append(real(df)) or kept[-1])
+    found = {(r["qid"], r["page_id"], r["tier"]): (r["heading_path"], r["text"]) for r in S.hint_search(hints, sections, bridge, pages, 5).collect()}
+    ranked = [df for df in kept if "tier" in df.columns][0]
+    assert ranked.filter("tier = 2").count() >= 5 and ranked.filter("tier = 2 AND text IS NOT NULL").count() == 0
+    assert found[("q1", "p5", 2)] == (["Other"], rows[4][6]) and found[("q1", None, 2)] == (["Other"], None)
+    assert found[("q2", "p1", 1)] == (["Alpha"], rows[0][6]) and found[("q2", "p3", 2)] == (["Other"], rows[2][6])
+    assert found[("q3", "p3", 3)] == (["Else"], "other page of the same name")
